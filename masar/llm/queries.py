@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from masar.llm import matroska, urls
+from masar.llm import matroska, ngrams, simhash, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,14 +20,24 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.score_held_out(table(spark, sf_dir, "documents"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digests(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_lm_scoring": op2_lm_scoring,
         "op3_url_filters": op3_url_filters,
         "op8_media_columns": op8_media_columns,
+        "op9_simhash": op9_simhash,
     }
 
 
