@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from masar.llm import matroska, ngrams, simhash, urls
+from masar.llm import decontaminate, matroska, ngrams, quality, simhash, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,15 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.score_held_out(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -36,6 +45,8 @@ def queries() -> dict[str, Query]:
     return {
         "op2_lm_scoring": op2_lm_scoring,
         "op3_url_filters": op3_url_filters,
+        "op4_quality_classifier": op4_quality_classifier,
+        "op5_decontamination": op5_decontamination,
         "op8_media_columns": op8_media_columns,
         "op9_simhash": op9_simhash,
     }
