@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from masar.llm import decontaminate, matroska, ngrams, quality, simhash, urls
+from masar.llm import decontaminate, matroska, ngrams, pii, quality, simhash, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +41,10 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digests(table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_lm_scoring": op2_lm_scoring,
@@ -49,6 +53,7 @@ def queries() -> dict[str, Query]:
         "op5_decontamination": op5_decontamination,
         "op8_media_columns": op8_media_columns,
         "op9_simhash": op9_simhash,
+        "op10_pii": op10_pii,
     }
 
 
