@@ -185,8 +185,8 @@ class _Probe:
                     yield np.repeat(may[at:to], m), [c[row] for c in found]
                     at = to
 
-    def hits(self, tokens: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        """(text, item, first token, end token, agreeing tokens) of qualifying windows."""
+    def hits(self, tokens: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
+        """Rows of (text, item, first token, end token, agreeing tokens) of qualifying windows, distinct within a piece."""
         reach = np.arange(-(WINDOW - 1), WINDOW)
         for places, (at, left, right, item) in self.candidates(tokens, bounds):
             for lo in range(0, len(places), _PIECE):
@@ -204,13 +204,22 @@ class _Probe:
                 ok, agree = (np.concatenate([np.zeros((len(place), 1), np.int64), np.cumsum(x, axis=1)], axis=1) for x in (valid, same))
                 size = np.where(a + b < WINDOW, a + b, WINDOW)
                 line, need = np.arange(len(place)), -(-size * 4 // 5)
+                found: list[np.ndarray] = []
                 for start in range(WINDOW):
                     end = np.minimum(start + size, 2 * WINDOW - 1)
                     good = (ok[line, end] - ok[:, start] == size) & (agree[line, end] - agree[:, start] >= need)
                     if good.any():
                         g = np.flatnonzero(good)
                         first = place[g] + reach[start]
-                        yield text[g], it[g], first, first + size[g], (agree[line, end] - agree[:, start])[g]
+                        found.append(np.column_stack([text[g], it[g], first, first + size[g], (agree[line, end] - agree[:, start])[g]]))
+                if found:
+                    yield _distinct_rows(np.concatenate(found))
+
+
+def _distinct_rows(rows: np.ndarray) -> np.ndarray:
+    """Distinct rows in order."""
+    rows = rows[np.lexsort(rows.T[::-1])]
+    return rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])]
 
 
 HIT_SCHEMA = "item long, char_start long, char_end long, tokens long, windows long, best long, best_of long"
@@ -234,7 +243,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", t
                 parts = list(probe.hits(tokens, bounds))
                 if not parts:
                     continue
-                hit = np.unique(np.column_stack([np.concatenate(c) for c in zip(*parts, strict=True)]), axis=0)
+                hit = _distinct_rows(np.concatenate(parts))
                 cut = np.flatnonzero(np.concatenate([[True], (hit[1:, :2] != hit[:-1, :2]).any(axis=1)]))
                 rows = []
                 for lo, hi in zip(cut, np.append(cut[1:], len(hit)), strict=True):
