@@ -13,7 +13,7 @@ columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -123,13 +123,13 @@ class Rules:
             z += weight * applies(rule, x)
         return 1 / (1 + np.exp(-z))
 
-    def column(self) -> Column:
-        """The score as a Spark expression over the STATS columns."""
+    def column(self, of: Callable[[int], Column] = lambda k: F.col(STATS[k])) -> Column:
+        """The score as a Spark expression over the statistics; ``of`` gives each one's column."""
         z = F.lit(self.intercept)
         for rule, weight in self.rules:
             held = None
             for k, over, t in rule:
-                one = F.col(STATS[k]) > t if over else F.col(STATS[k]) <= t
+                one = of(k) > t if over else of(k) <= t
                 held = one if held is None else held & one
             z = z + F.when(held, weight).otherwise(0.0)
         return 1 / (1 + F.exp(-z))
@@ -255,8 +255,10 @@ def held_out(key: Column, modulus: int = 3, remainder: int = 1) -> Column:
 def learn(stats: DataFrame, labels: DataFrame, key: str, label: str, most: int = MAX_LABELLED) -> Rules:
     """Fits the rules on ``most`` labelled rows at most, those with the least hash of their key."""
     marks = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg((F.avg(label) >= 0.5).cast("double").alias("y"))
-    rows = stats.join(marks.filter(~held_out(F.col("k"))), F.col("key") == F.col("k")).orderBy(F.xxhash64("k"), "k", *STATS).limit(most)
-    got = rows.select(*STATS, "y").toPandas().to_numpy(float)  # ``most`` rows
+    marks = materialize(marks.filter(~held_out(F.col("k"))).withColumn("h", F.xxhash64("k")), "quality-labels")
+    share = min(1.0, most / max(marks.count(), 1))
+    sample = marks.filter(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))  # ``most`` rows, or some more by chance
+    got = stats.join(sample, F.col("key") == F.col("k")).select("h", *STATS, "y").toPandas().sort_values(["h", *STATS], kind="stable").to_numpy(float)[: int(most), 1:]
     return fit(got[:, :-1], got[:, -1])
 
 
