@@ -262,3 +262,23 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", t
     found = materialize(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, {HIT_SCHEMA}"), "contaminations")
     named = found.join(items.select(F.col("item").alias("i"), F.col("key").alias("item_key")), F.col("item") == F.col("i"))
     return named.select(F.col("key").alias(key), F.col("item_key").alias(item_key), "char_start", "char_end", "tokens", "windows", "best", "best_of")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The documents that no item overlaps, with all their columns; rows are judged where they are."""
+    index, _ = build_index(benchmark, item_key, item_text)
+    if not index.families:
+        return docs
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        probe = _Probe(index)
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for a, _, raw, offs in chunks(batch.column(at)):
+                _, _, tokens, bounds = _tokens(raw, offs)
+                for rows in probe.hits(tokens, bounds):
+                    keep[a + rows[:, 0]] = False
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -343,3 +343,9 @@ def digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     counts = [count(k) for k in range(4)]
     return found.select(F.col(f"`{key}`"), *counts, F.sha2(listed(F.col("__b")), 256).alias("base_sha256"), listed(F.col("__s")).alias("spans"))
+
+
+def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The documents with all personal data in their texts replaced by the kind in angle brackets; all columns stay."""
+    found = detect(docs, text, docs.columns, "__b", "__s")
+    return found.select(*(F.when(F.size("__s") > 0, redact(F.col(f"`{c}`"), F.col("__s"))).otherwise(F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns))

@@ -268,3 +268,25 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     rules = learn(stats, labels, key, label, most)
     scored = stats.withColumn("score", rules.column())
     return scored.select(F.col("key").alias(key), held_out(F.col("key")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *STATS)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = MAX_LABELLED) -> DataFrame:
+    """The documents whose predicted label is 1, with all their columns.
+
+    Rules are learnt as in ``classify``; then rows are judged where they are, so no text is shuffled and repeated or null keys
+    are no matter.
+    """
+    stats = materialize(with_statistics(docs, key, text), "quality")
+    rules = learn(stats, labels, key, label, most)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, raw, offs in chunks(batch.column(at)):
+                rows = statistics(raw, offs)
+                packed = pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)), pa.array(rows.ravel()))
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), packed], names=[*batch.schema.names, "__stats"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    judged = docs.mapInArrow(run, f"{kinds}, __stats array<double>")
+    return judged.filter(rules.column(lambda k: F.get("__stats", F.lit(k))) >= 0.5).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from masar.llm import decontaminate, matroska, ngrams, pii, quality, simhash, urls
+from masar.llm import chat, decontaminate, matroska, ngrams, packing, paragraphs, pii, quality, simhash, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +19,10 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.score_held_out(table(spark, sf_dir, "documents"))
 
@@ -33,6 +36,14 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -47,10 +58,13 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op2_lm_scoring": op2_lm_scoring,
         "op3_url_filters": op3_url_filters,
         "op4_quality_classifier": op4_quality_classifier,
         "op5_decontamination": op5_decontamination,
+        "op6_packing": op6_packing,
+        "op7_chat_formatting": op7_chat_formatting,
         "op8_media_columns": op8_media_columns,
         "op9_simhash": op9_simhash,
         "op10_pii": op10_pii,
@@ -58,4 +72,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filters": urls.oracle()}
+    return {"op3_url_filters": urls.oracle(), "op7_chat_formatting": chat.oracle()}

@@ -206,12 +206,44 @@ def links(prints: DataFrame, distance: int = 2, hot: int = HOT) -> DataFrame:
     return pairs.union(stars)
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, distance: int = 2) -> DataFrame:
-    """(key, fingerprint, component_id): one row per document; the component is the smallest key that links reach."""
+def groups(docs: DataFrame, key: str, text: str, width: int, distance: int) -> tuple[DataFrame, DataFrame]:
+    """(key, fp) of all documents, and (fp, component, component_id) of all fingerprints."""
     prints = materialize(fingerprints(docs, key, text, width), "simhash")
     distinct = materialize(prints.groupBy("fp").agg(F.min("key").alias("rep")), "simhash-distinct")
     comps = connected_components(links(distinct, distance))
     named = distinct.join(comps, distinct.fp == comps.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id")).select(F.col("component").alias("c"), "component_id")
-    ids = materialize(named.join(least, F.col("component") == F.col("c")).select(F.col("fp").alias("f"), "component_id"), "simhash-ids")
-    return prints.join(ids, F.col("fp") == F.col("f")).select(F.col("key").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return prints, materialize(named.join(least, F.col("component") == F.col("c")).select("fp", "component", "component_id"), "simhash-ids")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, distance: int = 2) -> DataFrame:
+    """(key, fingerprint, component_id): one row per document; the component is the smallest key that links reach."""
+    prints, ids = groups(docs, key, text, width, distance)
+    named = ids.select(F.col("fp").alias("f"), "component_id")
+    return prints.join(named, F.col("fp") == F.col("f")).select(F.col("key").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, distance: int = 2) -> DataFrame:
+    """The document with the smallest key of each group, with all its columns; of repeated rows one.
+
+    Where a group has no row with a key, one of its rows stays.
+    """
+    prints, ids = groups(docs, key, text, width, distance)
+    firsts = materialize(ids.filter("component_id is not null").select(F.col("component_id").alias("__id")).distinct(), "simhash-firsts")
+    kept = docs.join(firsts, F.col(key) == F.col("__id"), "left_semi")
+    again = prints.join(firsts, F.col("key") == F.col("__id")).groupBy("__id").agg(F.count("*").alias("n")).filter("n > 1")
+    if not again.isEmpty():
+        kept = kept.dropDuplicates([key])
+    if prints.filter("key is null").isEmpty():
+        return kept
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([fingerprint((t or "").encode(), width) for t in batch.column(at).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], names=[*batch.schema.names, "__fp"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    unnamed = docs.filter(F.col(key).isNull()).mapInArrow(run, f"{kinds}, __fp long")
+    alone = unnamed.join(ids.filter("component_id is null").select("fp", F.col("component").alias("__c")), F.col("__fp") == F.col("fp")).dropDuplicates(["__c"])
+    return kept.union(alone.select(*(F.col(f"`{c}`") for c in docs.columns)))
