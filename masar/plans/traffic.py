@@ -346,9 +346,9 @@ def decay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir).select("event_id", F.round(R.decayed(h, c, F.col("value") / 10) + 1e-9, 6).alias("jam01"), (c > h + 0.15).alias("anomalous"))
 
 
-@query("fn_multiplier", f"WITH r AS {READ} SELECT event_id, round(1 + 1.5*jam10/10, 6) AS multiplier, round(1.0::DOUBLE + 0.5::DOUBLE*round(jam10/10, 2), 3) AS buffer FROM r")
+@query("fn_multiplier", f"WITH r AS {READ} SELECT event_id, round(1 + 1.5*jam10/10, 6) AS multiplier, round(1.0::DOUBLE + 0.5::DOUBLE*floor(jam10)/10, 3) AS buffer FROM r")
 def multipliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir).select("event_id", F.round(L.multiplier(F.col("jam10") / 10), 6).alias("multiplier"), L.buffer(F.round(F.col("jam10") / 10, 2)).alias("buffer"))
+    return read(spark, sf_dir).select("event_id", F.round(L.multiplier(F.col("jam10") / 10), 6).alias("multiplier"), L.buffer(F.floor("jam10") / 10).alias("buffer"))
 
 
 @query("fn_jam_from_ratio", "SELECT o_orderkey, round(least(1, greatest(0, (o_totalprice/100000 - 1)/1.5)), 4) AS jam01, round(least(1, greatest(0, (o_totalprice/100000 - 1)/0.5)), 4) AS adaptive FROM orders")
