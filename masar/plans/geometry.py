@@ -323,8 +323,8 @@ def union_junctions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return real.unionByName(virtual, allowMissingColumns=True).withColumn("road", F.coalesce("road", F.lit("")))
 
 
-@query("join_cross_slots", "SELECT o_orderkey, CAST(s AS INTEGER) AS slot, CAST(300 + 15*s AS INTEGER) AS minute FROM orders, range(76) t(s) WHERE o_orderkey < 500")
+@query("join_cross_slots", "SELECT o_orderkey, CAST(s AS INTEGER) AS slot, CAST(300 + 15*s AS INTEGER) AS minute FROM orders, range(76) t(s)")
 def cross_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each route with the 76 departures of a day, as a generator and not as a join; the first orders stand for requests."""
-    o = table(spark, sf_dir, "orders").filter("o_orderkey < 500")
+    """Each route with the 76 departures of a day, as a generator and not as a join."""
+    o = table(spark, sf_dir, "orders")
     return o.select("o_orderkey", F.explode(F.sequence(F.lit(0), F.lit(75))).alias("slot")).withColumn("minute", F.col("slot") * 15 + 300)

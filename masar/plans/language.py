@@ -49,12 +49,13 @@ def stems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("tx_loose", f"""
 WITH t AS (SELECT DISTINCT tok, CASE WHEN (starts_with(tok, 'el') OR starts_with(tok, 'al')) AND length(tok) > 4 AND tok NOT IN ('alex', 'alexandria') THEN substr(tok, 3) ELSE tok END AS b FROM {TOKS})
-SELECT tok, length(substr(b, 1, 1) || regexp_replace(substr(b, 2), '[aeiouyhw]', '', 'g')) AS kept FROM t WHERE NOT regexp_matches(tok, '[{X.ARABIC}]')""")
+SELECT tok, length(substr(b, 1, 1) || regexp_replace(substr(b, 2), CASE WHEN regexp_matches(b, '[{X.ARABIC}]') THEN '[اويهى]' ELSE '[aeiouyhw]' END, '', 'g')) AS kept FROM t""")
 def loose_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many letters the loose form keeps before doubled ones collapse."""
-    t = words(spark, sf_dir).select("tok").distinct().filter(~F.col("tok").rlike(f"[{X.ARABIC}]"))
     base = F.coalesce(X.stem(F.col("tok")), F.col("tok"))
-    return t.select("tok", (F.char_length(F.substring(base, 1, 1)) + F.char_length(F.regexp_replace(F.substring(base, 2, 1_000), "[aeiouyhw]", ""))).cast("long").alias("kept"))
+    rest = F.substring(base, 2, 1_000)
+    dropped = F.when(base.rlike(f"[{X.ARABIC}]"), F.regexp_replace(rest, "[اويهى]", "")).otherwise(F.regexp_replace(rest, "[aeiouyhw]", ""))
+    return words(spark, sf_dir).select("tok").distinct().select("tok", (F.char_length(F.substring(base, 1, 1)) + F.char_length(dropped)).cast("long").alias("kept"))
 
 
 @query("tx_loose_form")
@@ -62,9 +63,9 @@ def loose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words(spark, sf_dir).select("tok").distinct().select("tok", X.loose(F.col("tok")).alias("loose"))
 
 
-@query("tx_max_edits", f"SELECT DISTINCT tok, CAST(CASE WHEN length(tok) < 4 THEN 0 WHEN length(tok) < 8 THEN 1 ELSE 2 END AS INTEGER) AS edits FROM {TOKS} WHERE NOT regexp_matches(tok, '[{X.ARABIC}]')")
+@query("tx_max_edits", f"SELECT DISTINCT tok, CAST(CASE WHEN length(tok) < 4 - a THEN 0 WHEN length(tok) < 8 - a THEN 1 ELSE 2 END AS INTEGER) AS edits FROM (SELECT tok, regexp_matches(tok, '[{X.ARABIC}]')::INTEGER AS a FROM {TOKS})")
 def max_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return words(spark, sf_dir).filter(~F.col("tok").rlike(f"[{X.ARABIC}]")).select("tok").distinct().select("tok", X.max_edits(F.col("tok")).alias("edits"))
+    return words(spark, sf_dir).select("tok").distinct().select("tok", X.max_edits(F.col("tok")).alias("edits"))
 
 
 @query("tx_damerau")
