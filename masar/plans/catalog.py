@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from masar.plans import decisions, geometry, language, traffic  # noqa: F401  registers their queries
+from masar.plans import codecs, decisions, geometry, language, traffic  # noqa: F401  registers their queries
 from masar.plans.registry import ORACLES, QUERIES, Query
 
 
