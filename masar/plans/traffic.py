@@ -334,10 +334,10 @@ def latest_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("prj_feature16", f"""
-WITH r AS {READ} SELECT event_id, list_transform([jam10/10, cur, free, cur/free, sin(2*pi()*hour/24), cos(2*pi()*hour/24), sin(2*pi()*dow/7), cos(2*pi()*dow/7), CASE WHEN dow IN (4,5) THEN 1 ELSE 0 END, CASE WHEN dow = 4 THEN 1 ELSE 0 END, 1, 2], lambda x: round(x::DOUBLE, 6)) AS features FROM r""")
+WITH r AS {READ} SELECT event_id, list_transform([jam10/10, cur, free, cur/free, sin(2*pi()*hour/24), cos(2*pi()*hour/24), sin(2*pi()*dow/7), cos(2*pi()*dow/7), CASE WHEN dow IN (4,5) THEN 1 ELSE 0 END, CASE WHEN dow = 4 THEN 1 ELSE 0 END, 1, 2], lambda x: round(x::DOUBLE, 6) + 0::DOUBLE) AS features FROM r""")
 def feature16(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = R.features(F.col("jam10"), F.col("cur"), F.col("free"), F.col("hour"), F.col("dow"))
-    return read(spark, sf_dir).select("event_id", F.transform(f, lambda x: F.round(x, 6)).alias("features"))
+    return read(spark, sf_dir).select("event_id", F.transform(f, lambda x: F.round(x, 6) + F.lit(0.0)).alias("features"))
 
 
 @query("fn_decay", f"WITH r AS {READ} SELECT event_id, round(jam10/10 + (cur/100 - jam10/10) * greatest(0, 1 - (value/10)/60) + 1e-9, 6) AS jam01, cur/100 > jam10/10 + 0.15 AS anomalous FROM r")

@@ -79,4 +79,6 @@ class PagedReader(DataSourceReader):
 
 
 def register(spark: SparkSession) -> None:
+    """Makes the source known, and lets filters reach it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PagedTable)
