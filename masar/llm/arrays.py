@@ -80,3 +80,20 @@ def write_sorted(table: DataFrame, label: str, rows_in_part: int | None = None)
         return Sorted(folder, names, ())
     parts = table.repartitionByRange(math.ceil(count / rows_in_part), *names).sortWithinPartitions(*names).mapInArrow(save, "part long, n long, first long, last long").collect()  # a row for a million
     return Sorted(folder, names, tuple(sorted(map(tuple, parts), key=lambda p: (p[2], p[3], p[0]))))
+
+
+def members(df: DataFrame, column: str, table: Sorted, inside: bool = True) -> DataFrame:
+    """The rows whose whole-number column is (or is not) a key of the table; null is in no table. Rows are judged where they are."""
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have = table.open()
+        for batch in batches:
+            keys = batch.column(at).cast(pa.int64())
+            known = keys.is_valid().to_numpy(zero_copy_only=False)
+            distinct, where = np.unique(keys.fill_null(0).to_numpy(zero_copy_only=False), return_inverse=True)
+            found = np.zeros(len(distinct), bool)
+            found[have.find(distinct)[0]] = True
+            yield batch.filter(pa.array((found[where] & known) == inside))
+
+    return df.mapInArrow(run, df.schema)

@@ -25,7 +25,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
+from masar.llm.arrays import members, write_sorted
 from masar.llm.components import connected_components
 from masar.llm.shared import materialize
 from masar.llm.textkit import LOWER_BYTES, column_bytes
@@ -229,11 +231,17 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     Where a group has no row with a key, one of its rows stays.
     """
     prints, ids = groups(docs, key, text, width, distance)
-    firsts = materialize(ids.filter("component_id is not null").select(F.col("component_id").alias("__id")).distinct(), "simhash-firsts")
-    kept = docs.join(firsts, F.col(key) == F.col("__id"), "left_semi")
-    again = prints.join(firsts, F.col("key") == F.col("__id")).groupBy("__id").agg(F.count("*").alias("n")).filter("n > 1")
-    if not again.isEmpty():
-        kept = kept.dropDuplicates([key])
+    firsts = materialize(ids.filter("component_id is not null").select(F.col("component_id").alias("id")).distinct(), "simhash-firsts")
+    again = materialize(prints.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1 and key is not null").select(F.col("key").alias("id")), "simhash-again")
+    if isinstance(docs.schema[key].dataType, IntegralType):  # no text is shuffled: the ids kept are arrays that workers map
+        as_long = lambda t: write_sorted(t.select(F.col("id").cast("long").alias("id")), "simhash-ids")
+        kept, repeated = members(docs, key, as_long(firsts)), as_long(again)
+        if repeated.rows:
+            kept = members(kept, key, repeated, inside=False).union(members(kept, key, repeated).dropDuplicates([key]))
+    else:
+        kept = docs.join(firsts, F.col(key) == F.col("id"), "left_semi")
+        if not again.isEmpty():
+            kept = kept.dropDuplicates([key])
     if prints.filter("key is null").isEmpty():
         return kept
     at = docs.columns.index(text)
