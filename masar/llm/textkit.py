@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 3_000_000
+CHUNK = 500_000
 U = np.uint64
 _BASE = 0x9E6C63D0676A9A99 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
