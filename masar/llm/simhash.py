@@ -231,15 +231,15 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     Where a group has no row with a key, one of its rows stays.
     """
     prints, ids = groups(docs, key, text, width, distance)
-    firsts = materialize(ids.filter("component_id is not null").select(F.col("component_id").alias("id")).distinct(), "simhash-firsts")
-    again = materialize(prints.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1 and key is not null").select(F.col("key").alias("id")), "simhash-again")
+    firsts = materialize(ids.filter("component_id is not null").select(F.col("component_id").alias("__id")).distinct(), "simhash-firsts")
+    again = materialize(prints.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1 and key is not null").select(F.col("key").alias("__id")), "simhash-again")
     if isinstance(docs.schema[key].dataType, IntegralType):  # no text is shuffled: the ids kept are arrays that workers map
-        as_long = lambda t: write_sorted(t.select(F.col("id").cast("long").alias("id")), "simhash-ids")
+        as_long = lambda t: write_sorted(t.select(F.col("__id").cast("long").alias("id")), "simhash-ids")
         kept, repeated = members(docs, key, as_long(firsts)), as_long(again)
         if repeated.rows:
             kept = members(kept, key, repeated, inside=False).union(members(kept, key, repeated).dropDuplicates([key]))
     else:
-        kept = docs.join(firsts, F.col(key) == F.col("id"), "left_semi")
+        kept = docs.join(firsts, F.col(key) == F.col("__id"), "left_semi")
         if not again.isEmpty():
             kept = kept.dropDuplicates([key])
     if prints.filter("key is null").isEmpty():
@@ -253,5 +253,5 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     unnamed = docs.filter(F.col(key).isNull()).mapInArrow(run, f"{kinds}, __fp long")
-    alone = unnamed.join(ids.filter("component_id is null").select("fp", F.col("component").alias("__c")), F.col("__fp") == F.col("fp")).dropDuplicates(["__c"])
+    alone = unnamed.join(ids.filter("component_id is null").select(F.col("fp").alias("__f"), F.col("component").alias("__c")), F.col("__fp") == F.col("__f")).dropDuplicates(["__c"])
     return kept.union(alone.select(*(F.col(f"`{c}`") for c in docs.columns)))
