@@ -5,10 +5,10 @@ hash of their words, are one node.  MinHash values of five-word shingles are ban
 similarity; paragraphs that share a band are candidates, verified by the exact Jaccard similarity of their shingle sets;
 links become components, and of each component the first occurrence stays.
 
-A band value that more than ``FEW`` distinct paragraphs hold isn't expanded into all pairs.  In rounds, growing shares of its paragraphs,
-chosen by a hash, lead: each leader is verified against all members outside its component.  A bucket is done when it is one
-component, or when all of its members have led, so no link between components is lost and similar groups of any size cost about their
-size.
+The paragraphs of a band value aren't expanded into all pairs.  First all are verified against the most central of them (the one whose
+band values most others share, and whose shingles the others hold), which joins copies of one original.  Values whose paragraphs
+aren't one component then are verified across components, so that no link is lost.  Pairs are made only where the shingles that
+a set shares with any other allow the overlap that the similarity needs.
 
 Defined results: null and empty texts have no paragraphs; a paragraph that repeats within a text counts as well; of repeated rows with one
 key all occurrences of the kept paragraph are kept; a null key sorts first among occurrences; an empty table gives an empty table; extra
@@ -18,7 +18,6 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,6 @@ from masar.llm.shared import materialize
 from masar.llm.textkit import U, chunks, mix, signed, spans, windows, word_hashes
 
 LEAST, SHINGLE, SIMILARITY, RECALL, HASHES = 20, 5, 0.8, 0.999, 32
-FEW = 16
 _NEWLINE = np.zeros(256, bool)
 _NEWLINE[[10, 13]] = True
 
@@ -135,32 +133,46 @@ def _pair(x: str, y: str) -> list:
     return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
 
 
-def link(buckets: DataFrame, sets: DataFrame, similarity: float, few: int = FEW) -> DataFrame:
+def room(buckets: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The members (v, node, n, size, free) that can have a similar partner at all.
+
+    ``free`` counts the shingles of a set that some other set holds too. No overlap is larger, and a partner of the least
+    possible size needs an overlap of similarity * size, so a set with less is out; that loses no link.
+    """
+    own = sets.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("node").alias("k")).filter("c = 1").groupBy("k").agg(F.count("*").alias("alone"))
+    sized = sets.select("node", F.size("shingles").alias("size")).join(own, F.col("node") == F.col("k"), "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("free"))
+    sized = materialize(sized.filter(F.col("free") >= similarity * F.col("size")).withColumnRenamed("node", "k"), "paragraph-sizes")
+    left = materialize(buckets.join(sized, F.col("node") == F.col("k")).select("v", "node", "size", "free"), "paragraph-room")
+    still = left.groupBy("v").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("v").alias("u"), "n")
+    return materialize(left.join(still, F.col("v") == F.col("u")).select("v", "node", "n", "size", "free"), "paragraph-members")
+
+
+def link(buckets: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(a, b): verified links of the members (v, node, n) of buckets that make the components of all similar members."""
-    small = buckets.filter(F.col("n") <= few)
-    other = small.select(F.col("v").alias("w"), F.col("node").alias("other"))
-    pairs = small.join(other, (F.col("v") == F.col("w")) & (F.col("node") < F.col("other"))).select(*_pair("node", "other")).distinct()
-    found = [materialize(verified(pairs, sets, similarity), "paragraph-links")]
-    large = materialize(buckets.filter(F.col("n") > few), "paragraph-buckets")
-    spot = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1 << 40))
-    before, share = 0, 4
-    while True:
-        comps = connected_components(reduce(DataFrame.union, found))
-        inside = large.join(comps.select(F.col("node").alias("k"), "component"), F.col("node") == F.col("k"), "left").select("v", "node", "n", F.coalesce("component", "node").alias("comp"))
-        inside = materialize(inside, "paragraph-round")
-        torn = inside.groupBy("v").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("n").alias("m")).filter(F.col("x") != F.col("y")).select(F.col("v").alias("u"), "m")
-        todo = torn.agg(F.max("m")).first()[0]
-        if not todo or before >= todo:
-            return reduce(DataFrame.union, found)
-        now = inside.join(torn, F.col("v") == F.col("u")).select("v", "node", "n", "comp")
-        # of a bucket of n, the members whose hash is under share / n lead in this round or have led
-        lead = now.filter((spot * F.col("n") < F.lit(share) * F.lit(1 << 40)) & (spot * F.col("n") >= F.lit(before) * F.lit(1 << 40))).select(F.col("v").alias("w"), F.col("node").alias("leader"), F.col("comp").alias("own"))
-        pairs = now.join(lead, (F.col("v") == F.col("w")) & (F.col("comp") != F.col("own"))).select(*_pair("node", "leader")).distinct()
-        found.append(materialize(verified(pairs, sets, similarity), "paragraph-links"))
-        before, share = share, share * 4
-
-
-def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, similarity: float = SIMILARITY, recall: float = RECALL, few: int = FEW) -> DataFrame:
+    buckets = room(buckets.select("v", "node"), sets, similarity)
+    need = similarity / (1 + similarity) * (F.col("size") + F.col("size2")) - 1e-9
+    fits = (F.col("free") >= need) & (F.col("free2") >= need)  # an overlap of this size is possible
+    central = buckets.groupBy("node").agg(F.sum("n").alias("weight")).select(F.col("node").alias("k"), "weight")
+    weighed = buckets.join(central, F.col("node") == F.col("k")).select("v", "node", "weight", "size", "free")
+    heads = weighed.groupBy("v").agg(F.max(F.struct("weight", "free", "node", "size")).alias("h")).select(F.col("v").alias("w"), F.col("h.node").alias("head"), F.col("h.size").alias("size2"), F.col("h.free").alias("free2"))
+    stars = buckets.join(heads, (F.col("v") == F.col("w")) & (F.col("node") != F.col("head")) & fits).select(*_pair("node", "head")).distinct()
+    found = materialize(verified(stars, sets, similarity), "paragraph-links")
+    comps = connected_components(found)
+    inside = buckets.join(comps.select(F.col("node").alias("k"), "component"), F.col("node") == F.col("k"), "left").select("v", "node", "size", "free", F.coalesce("component", "node").alias("comp"))
+    inside = materialize(inside, "paragraph-round")
+    torn = inside.groupBy("v").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter(F.col("x") != F.col("y")).select(F.col("v").alias("u"))
+    now = materialize(inside.join(torn, F.col("v") == F.col("u")).select("v", "node", "size", "free", "comp"), "paragraph-torn")
+    if now.isEmpty():
+        return found
+    held = now.groupBy("node").agg(F.collect_set("v").alias("vs")).select(F.col("node").alias("k"), "vs")  # one value for each band at most
+    now = materialize(now.join(held, F.col("node") == F.col("k")).drop("k"), "paragraph-torn")
+    other = now.select(F.col("v").alias("w"), F.col("node").alias("other"), F.col("comp").alias("own"), F.col("size").alias("size2"), F.col("free").alias("free2"), F.col("vs").alias("vs2"))
+    once = F.array_min(F.array_intersect("vs", "vs2")) == F.col("v")  # a pair meets in the first value that it shares, not in each
+    pairs = now.join(other, (F.col("v") == F.col("w")) & (F.col("node") < F.col("other")) & (F.col("comp") != F.col("own")) & fits & once).select(*_pair("node", "other"))
+    return found.union(materialize(verified(pairs, sets, similarity), "paragraph-links"))
+
+
+def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """A row for each occurrence of a paragraph that has a duplicate.
 
     key, paragraph (number within the text), char_start, char_end (code points), words, component_id and component_paragraph (where the
@@ -174,7 +186,7 @@ def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     buckets = materialize(exploded.join(shared, F.col("v") == F.col("u")).select("v", "node", "n"), "paragraph-members")
     wanted = buckets.select("node").distinct().select(F.col("node").alias("k")).join(nodes, F.col("k") == F.col("node")).select("node", F.col("first.paragraph").cast("long").alias("paragraph"), F.xxhash64("first.key").alias("owner"))
     sets = materialize(shingle_sets(docs, key, text, least, write_sorted(materialize(wanted, "paragraph-wanted"), "paragraph-wanted")).dropDuplicates(["node"]), "paragraph-sets")
-    comps = connected_components(link(buckets, sets, similarity, few))
+    comps = connected_components(link(buckets, sets, similarity))
     named = materialize(nodes.join(comps.select(F.col("node").alias("k"), "component"), F.col("node") == F.col("k"), "left").select("node", "n", "first", F.coalesce("component", "node").alias("component")), "paragraph-named")
     whole = named.groupBy("component").agg(F.sum("n").alias("total"), F.min("first").alias("origin")).filter("total > 1").select(F.col("component").alias("c"), "origin")
     repeated = materialize(named.join(whole, F.col("component") == F.col("c")).select(F.col("node").alias("k"), "origin"), "paragraph-repeated")

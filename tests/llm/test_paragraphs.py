@@ -72,8 +72,8 @@ def data(seed=1):
 def test_equal_to_all_pairs(spark):
     rows = data()
     want = slow(rows)
-    for few in (3, 16):
-        got = p.duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), few=few).collect()
+    for parts in (1, 3):
+        got = p.duplicates(spark.createDataFrame(rows, SCHEMA).repartition(parts)).collect()
         have = {(-1 if r["doc_id"] is None else r["doc_id"], r["paragraph"], r["char_start"], r["char_end"]): (-1 if r["component_id"] is None else r["component_id"], r["component_paragraph"]) for r in got}
         assert have == want
         assert all(r["keep"] == (r["doc_id"] == r["component_id"] and r["paragraph"] == r["component_paragraph"]) for r in got)
@@ -107,10 +107,10 @@ def test_bands_reach_the_recall():
 def test_dissimilar_members_of_one_bucket(spark):
     """A bucket whose members are a chain: no leader is similar to all."""
     base = list(range(100))
-    sets = [(k, base[k : k + 60]) for k in range(0, 40, 4)] + [(100 + k, [1000 * k + j for j in range(60)]) for k in range(30)]
+    sets = [(k, base[k : k + 60]) for k in range(0, 40, 4)] + [(100 + k, [1000 * (k + 1) + j for j in range(60)]) for k in range(30)]
     frame = spark.createDataFrame(sets, "node long, shingles array<long>")
     buckets = spark.createDataFrame([(7, n, len(sets)) for n, _ in sets], "v long, node long, n long")
     from masar.llm.components import connected_components
 
-    got = {r["node"]: r["component"] for r in connected_components(p.link(buckets, frame, 0.8, few=3)).collect()}
+    got = {r["node"]: r["component"] for r in connected_components(p.link(buckets, frame, 0.8)).collect()}
     assert got == {k: 0 for k in range(0, 40, 4)}
