@@ -64,9 +64,27 @@ def _identity(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mix(np.add.reduceat(mix(hashes + mix(place + U(1))), bounds[:-1]) + n.astype(U)) if len(n) else np.zeros(0, U)
 
 
+def multipliers(n: int) -> np.ndarray:
+    """Odd numbers, one for each MinHash function."""
+    return mix(np.arange(1, n + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15)) | U(1)
+
+
+def band_values(grams: np.ndarray, cuts: np.ndarray, odd: np.ndarray, bands: int, rows: int) -> pa.ListArray:
+    """The band values of each set of shingles."""
+    n = len(cuts) - 1
+    values = np.empty((bands, n), U)
+    for k in range(bands):
+        band = np.full(n, k, U)
+        for j in range(rows):
+            band = mix(band * U(31) ^ np.minimum.reduceat(grams * odd[k * rows + j], cuts[:-1]))
+        values[k] = band
+    flat = pa.array(signed(np.ascontiguousarray(values.T).ravel()))
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, bands * n + 1, bands, dtype=np.int32)), flat)
+
+
 def occurrences(docs: DataFrame, key: str, text: str, least: int, bands: int, rows: int) -> DataFrame:
     """(key, paragraph, char_start, char_end, words, node, bands)."""
-    odd = mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15)) | U(1)
+    odd = multipliers(bands * rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,17 +93,10 @@ def occurrences(docs: DataFrame, key: str, text: str, least: int, bands: int, ro
                 if not len(a):
                     continue
                 grams, cuts = windows(hashes, bounds, SHINGLE)
-                values = np.empty((bands, len(a)), U)
-                for k in range(bands):
-                    band = np.full(len(a), k, U)
-                    for j in range(rows):
-                        band = mix(band * U(31) ^ np.minimum.reduceat(grams * odd[k * rows + j], cuts[:-1]))
-                    values[k] = band
                 lead = np.concatenate([[0], np.cumsum(raw & 0xC0 != 0x80)])
                 base = lead[offs[text_no]]
-                flat = pa.array(signed(np.ascontiguousarray(values.T).ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(first + text_no)), pa.array(number, pa.int32()), pa.array(lead[a] - base, pa.int64()), pa.array(lead[b] - base, pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.array(signed(_identity(hashes, bounds))), pa.ListArray.from_arrays(pa.array(np.arange(0, bands * len(a) + 1, bands, dtype=np.int32)), flat)],
+                    [batch.column(0).take(pa.array(first + text_no)), pa.array(number, pa.int32()), pa.array(lead[a] - base, pa.int64()), pa.array(lead[b] - base, pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.array(signed(_identity(hashes, bounds))), band_values(grams, cuts, odd, bands, rows)],
                     names=["key", "paragraph", "char_start", "char_end", "words", "node", "bands"],
                 )
 

@@ -17,7 +17,7 @@ a group; repeated rows are kept; an empty table gives an empty table; extra colu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -231,6 +231,11 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     Where a group has no row with a key, one of its rows stays.
     """
     prints, ids = groups(docs, key, text, width, distance)
+    return first_of_each(docs, prints, ids, lambda texts: np.array([fingerprint((t or "").encode(), width) for t in texts.to_pylist()], np.uint64).view(np.int64), key, text)
+
+
+def first_of_each(docs: DataFrame, prints: DataFrame, ids: DataFrame, values: Callable[[pa.Array], np.ndarray], key: str, text: str) -> DataFrame:
+    """The documents that stay, by (key, fp) and (fp, component, component_id); ``values`` computes fp of a column of texts."""
     firsts = materialize(ids.filter("component_id is not null").select(F.col("component_id").alias("__id")).distinct(), "simhash-firsts")
     again = materialize(prints.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1 and key is not null").select(F.col("key").alias("__id")), "simhash-again")
     if isinstance(docs.schema[key].dataType, IntegralType):  # no text is shuffled: the ids kept are arrays that workers map
@@ -248,8 +253,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint((t or "").encode(), width) for t in batch.column(at).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], names=[*batch.schema.names, "__fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values(batch.column(at)))], names=[*batch.schema.names, "__fp"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     unnamed = docs.filter(F.col(key).isNull()).mapInArrow(run, f"{kinds}, __fp long")
