@@ -121,7 +121,7 @@ def _octets(m: Column) -> Column:
 
 def base_spans(text: Column) -> Column:
     """array<struct<start, kind, end>> of the fixed patterns, in order of start, then kind."""
-    digit = text.rlike("[0-9]{2}")
+    digit = text.rlike("[0-9][ -]?[0-9]")
 
     def one(k: int) -> Column:
         may = text.contains(TRIGGER[k]) if TRIGGER[k] else digit

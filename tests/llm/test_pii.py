@@ -126,3 +126,10 @@ def test_starts_of_long_arrays(spark):
     for n in (0, 1, 63, 64, 65, 1000):
         got = spark.createDataFrame([(lens[:n],)], "x array<int>").select(pii.starts_of(F.col("x"))).first()[0]
         assert got == [sum(lens[:k]) for k in range(n)]
+
+
+def test_cards_with_every_digit_apart(spark):
+    rows = [(k, f"card {sep.join('4111111111111111')} end", "", 0) for k, sep in enumerate(" -")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert [r["n_card"] for r in pii.digest(docs).orderBy("doc_id").collect()] == [1, 1]
+    assert [r["text"] for r in pii.redacted(docs).orderBy("doc_id").collect()] == ["card <CARD> end"] * 2
