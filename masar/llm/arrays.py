@@ -36,17 +36,31 @@ class Opened:
     """A worker's map of the arrays."""
 
     def __init__(self, table: Sorted) -> None:
-        self.parts = table.parts
-        self.columns = [[np.memmap(f"{table.folder}/{p[0]}-{c}", np.int64, "r") for c in table.columns] for p in table.parts]
+        self.table, self.parts = table, table.parts
+        self.mapped: dict[int, list[np.ndarray]] = {}
+
+    def part(self, number: int) -> list[np.ndarray]:
+        """The columns of a part, mapped when it is first asked for."""
+        if number not in self.mapped:
+            self.mapped[number] = [np.memmap(f"{self.table.folder}/{number}-{c}", np.int64, "r") for c in self.table.columns]
+        return self.mapped[number]
+
+    def holds(self, values: np.ndarray) -> np.ndarray:
+        """Whether each value is a key; in the values' shape."""
+        distinct, where = np.unique(values, return_inverse=True)
+        found = np.zeros(len(distinct), bool)
+        found[self.find(distinct)[0]] = True
+        return found[where].reshape(values.shape)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """All rows with one of the sorted distinct keys: (which key, the row's other columns)."""
         which: list[np.ndarray] = []
         found: list[list[np.ndarray]] = []
-        for (_, _, first, last), columns in zip(self.parts, self.columns, strict=True):
+        for number, _, first, last in self.parts:
             a, b = np.searchsorted(keys, first, "left"), np.searchsorted(keys, last, "right")
             if a == b:
                 continue
+            columns = self.part(number)
             low, high = np.searchsorted(columns[0], keys[a:b], "left"), np.searchsorted(columns[0], keys[a:b], "right")
             n = high - low
             if not n.any():
@@ -55,7 +69,7 @@ class Opened:
             which.append(np.repeat(np.arange(a, b), n))
             found.append([c[at] for c in columns[1:]])
         if not which:
-            return np.zeros(0, np.int64), [np.zeros(0, np.int64) for _ in (self.columns[0][1:] if self.columns else ())]
+            return np.zeros(0, np.int64), [np.zeros(0, np.int64) for _ in self.table.columns[1:]]
         return np.concatenate(which), [np.concatenate(x) for x in zip(*found, strict=True)]
 
 

@@ -1,37 +1,50 @@
 """Substring dedup: paragraphs by MinHash banding.
 
-A paragraph is a line with ``LEAST`` words or more (passages shorter than that repeat by chance and by convention).  Equal paragraphs, by a
-hash of their words, are one node.  MinHash values of five-word shingles are banded, the bands tuned for recall at the
+Paragraphs are cut where the words themselves say so, not at line ends, so that a passage yields the same paragraphs wherever it stands:
+inside a longer line, over several short lines, or in a text without lines.  A *boundary* is a word where a hash of it and of the word before is the least
+among the ``REACH`` places on either side; stretches of ``2 * PIECE`` words without one (a word repeated over and over) are cut every ``PIECE`` words.
+From each boundary a paragraph runs to the first boundary that leaves it ``LEAST`` words or more; of paragraphs with one end the
+shortest counts.  So paragraphs overlap, each less than the similarity with the next, and a passage of 51 words holds a whole one in 97 of 100 cases.
+
+Equal paragraphs, by a hash of their words, are one node.  MinHash values of five-word shingles are banded, the bands tuned for recall at the
 similarity; paragraphs that share a band are candidates, verified by the exact Jaccard similarity of their shingle sets;
 links become components, and of each component the first occurrence stays.
 
-The paragraphs of a band value aren't expanded into all pairs.  First all are verified against the most central of them (the one whose
+Two passes over the texts.  The first sends sorted, packed band values and node hashes to buckets of the hash range; what is found there of more
+than one node, or more than once, becomes sorted arrays in the shared folder.  The second maps these and returns only paragraphs that meet one of them, so what
+occurs once is never shuffled as rows.  The paragraphs of a band value aren't expanded into all pairs.  First all are verified against the most central of them (the one whose
 band values most others share, and whose shingles the others hold), which joins copies of one original.  Values whose paragraphs
 aren't one component then are verified across components, so that no link is lost.  Pairs are made only where the shingles that
 a set shares with any other allow the overlap that the similarity needs.
 
-Defined results: null and empty texts have no paragraphs; a paragraph that repeats within a text counts as well; of repeated rows with one
+Defined results: null and empty texts have no paragraphs; a text of fewer words than ``LEAST`` is one paragraph; after a text's last paragraph
+fewer words than that may be left, which belong to none; a paragraph that repeats within a text counts as well; of repeated rows with one
 key all occurrences of the kept paragraph are kept; a null key sorts first among occurrences; an empty table gives an empty table; extra
 columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from masar.llm.arrays import Sorted, write_sorted
+from masar.llm.arrays import Sorted
+from masar.llm.blocks import pack_sorted, unpack_sorted
 from masar.llm.components import connected_components
-from masar.llm.shared import materialize
-from masar.llm.textkit import U, chunks, mix, signed, spans, windows, word_hashes
+from masar.llm.shared import array_folder, materialize, unused, write_atomically
+from masar.llm.textkit import U, chunks, mix, per_text, prefix_hashes, range_hashes, signed, spans, windows, word_hashes
 
-LEAST, SHINGLE, SIMILARITY, RECALL, HASHES = 20, 5, 0.8, 0.999, 32
-_NEWLINE = np.zeros(256, bool)
-_NEWLINE[[10, 13]] = True
+LEAST, REACH, PIECE, SHINGLE, SIMILARITY, RECALL, HASHES = 20, 4, 32, 5, 0.8, 0.999, 32
+#: Distinct keys that a task holds before it sends them on, and about as many in a bucket.
+HELD, BUCKET = 2_000_000, 2_000_000
+#: Low bits of a band value's key that tell its nodes apart.
+CHECK = U(16)
 
 
 def choose_bands(similarity: float = SIMILARITY, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -44,24 +57,96 @@ def choose_bands(similarity: float = SIMILARITY, recall: float = RECALL, hashes:
     return best
 
 
-def _paragraphs(raw: np.ndarray, offs: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
-    """(text, number within the text, first byte, end byte, word hashes, word bounds) of the long enough lines of a chunk."""
-    a, b = spans(raw, offs, _NEWLINE)
-    text = np.searchsorted(offs, a, "right") - 1
-    number = np.arange(len(a)) - np.searchsorted(text, text, "left")
-    starts, ends = spans(raw, offs)
-    hashes = word_hashes(raw, starts, ends)
-    bounds = np.append(np.searchsorted(starts, a), len(starts)) if len(a) else np.zeros(1, np.int64)
-    keep = np.diff(bounds) >= least
-    words = np.repeat(keep, np.diff(bounds))
-    return text[keep], number[keep], a[keep], b[keep], hashes[words], np.concatenate([[0], np.cumsum(np.diff(bounds)[keep])])
-
-
-def _identity(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A hash of all words of each paragraph in order."""
-    n = np.diff(bounds)
-    place = (np.arange(len(hashes)) - np.repeat(bounds[:-1], n)).astype(U)
-    return mix(np.add.reduceat(mix(hashes + mix(place + U(1))), bounds[:-1]) + n.astype(U)) if len(n) else np.zeros(0, U)
+def segments(hashes: np.ndarray, bounds: np.ndarray, reach: int = REACH, piece: int = PIECE) -> np.ndarray:
+    """The words at which a stretch between boundaries begins; each text's first word is one."""
+    n, sizes = len(hashes), np.diff(bounds)
+    if not n:
+        return np.zeros(0, np.int64)
+    score = mix(np.concatenate([np.zeros(1, U), hashes[:-1]]) * U(0x9E3779B97F4A7C15) + hashes)
+    least = np.ones(n, bool)
+    for k in range(1, reach + 1):
+        least[k:] &= score[k:] < score[:-k]
+        least[:-k] &= score[:-k] <= score[k:]
+    place = np.arange(n) - np.repeat(bounds[:-1], sizes)
+    least &= (place > reach) & (np.repeat(sizes, sizes) - place > reach)
+    least[bounds[:-1][sizes > 0]] = True
+    starts = np.flatnonzero(least)
+    long = np.diff(np.append(starts, n)) // piece
+    pieces = np.where(long >= 2, long, 1)
+    within = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    return np.repeat(starts, pieces) + piece * within
+
+
+@dataclass(frozen=True)
+class Paragraphs:
+    """The paragraphs of a chunk in order: each runs from segment ``first`` to segment ``last``, both included."""
+
+    text: np.ndarray
+    number: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    starts: np.ndarray  # words at which segments begin
+    ends: np.ndarray  # and end
+    grams: np.ndarray  # hashes of all shingles of the chunk
+    gram_from: np.ndarray  # the first shingle of each segment
+    gram_to: np.ndarray  # the end of the shingles that lie within it
+
+    @property
+    def begin(self) -> np.ndarray:
+        return self.starts[self.first]
+
+    @property
+    def end(self) -> np.ndarray:
+        return self.ends[self.last]
+
+    def bands(self, odd: np.ndarray, bands: int, rows: int) -> np.ndarray:
+        """A row of band values for each paragraph."""
+        cuts = np.ravel(np.column_stack([self.gram_from, self.gram_to]))
+        inside = len(self.starts) + self.last
+        most = int((self.last - self.first).max(initial=0))
+        parts = [np.where(self.first + k < self.last, self.first + k, inside) for k in range(most)]
+        out = np.empty((len(self.first), bands), U)
+        for b in range(bands):
+            band = np.full(len(self.first), b, U)
+            for j in range(rows):
+                low = np.minimum.reduceat(np.append(self.grams * odd[b * rows + j], ~U(0)), cuts)
+                table = np.concatenate([np.minimum(low[::2], low[1::2]), low[::2]])  # of a segment and what reaches over its end; of what lies within it
+                least = table[inside]
+                for part in parts:
+                    least = np.minimum(least, table[part])
+                band = mix(band * U(31) ^ least)
+            out[:, b] = band
+        return out
+
+    def shingles(self, k: int) -> np.ndarray:
+        """The distinct shingles of one paragraph, in order."""
+        return np.unique(signed(self.grams[self.gram_from[self.first[k]] : self.gram_to[self.last[k]]]))
+
+
+def paragraphs_of(hashes: np.ndarray, bounds: np.ndarray, least: int = LEAST) -> Paragraphs:
+    sizes, starts = np.diff(bounds), segments(hashes, bounds)
+    ends = np.append(starts[1:], len(hashes))[: len(starts)]
+    text = np.searchsorted(bounds, starts, "right") - 1
+    begun = np.searchsorted(starts, bounds[:-1][text])
+    over = np.searchsorted(starts, bounds[1:][text])
+    last = np.searchsorted(ends, starts + least)
+    short = sizes[text] < least
+    last = np.where(short, over - 1, last)
+    real = np.where(short, np.arange(len(starts)) == begun, last < over)
+    if len(starts):
+        real[:-1] &= ~((last[:-1] == last[1:]) & real[1:] & (text[:-1] == text[1:]))
+    grams, cuts = windows(hashes, bounds, SHINGLE)
+    gram_from = cuts[text] + starts - bounds[text]
+    gram_to = np.maximum(cuts[text] + ends - bounds[text] - (SHINGLE - 1), gram_from + 1)
+    first = np.flatnonzero(real)
+    text = text[first]
+    number = np.arange(len(first)) - np.searchsorted(text, text)
+    return Paragraphs(text, number, first, last[first], starts, ends, grams, gram_from, gram_to)
+
+
+def identity(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the words from begin to end, in order; 63 bits."""
+    return range_hashes(prefix_hashes(hashes), begin, end) >> U(1)
 
 
 def multipliers(n: int) -> np.ndarray:
@@ -69,67 +154,127 @@ def multipliers(n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15)) | U(1)
 
 
-def band_values(grams: np.ndarray, cuts: np.ndarray, odd: np.ndarray, bands: int, rows: int) -> pa.ListArray:
-    """The band values of each set of shingles."""
-    n = len(cuts) - 1
-    values = np.empty((bands, n), U)
-    for k in range(bands):
-        band = np.full(n, k, U)
-        for j in range(rows):
-            band = mix(band * U(31) ^ np.minimum.reduceat(grams * odd[k * rows + j], cuts[:-1]))
-        values[k] = band
-    flat = pa.array(signed(np.ascontiguousarray(values.T).ravel()))
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, bands * n + 1, bands, dtype=np.int32)), flat)
+def worded(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the words of a chunk, and each text's bounds."""
+    starts, ends = spans(raw, offs)
+    return starts, ends, word_hashes(raw, starts, ends), per_text(starts, offs)
 
 
-def occurrences(docs: DataFrame, key: str, text: str, least: int, bands: int, rows: int) -> DataFrame:
-    """(key, paragraph, char_start, char_end, words, node, bands)."""
-    odd = multipliers(bands * rows)
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (keys >> U(40)).astype(np.int64) * buckets >> 24
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, _, raw, offs in chunks(batch.column(1)):
-                text_no, number, a, b, hashes, bounds = _paragraphs(raw, offs, least)
-                if not len(a):
-                    continue
-                grams, cuts = windows(hashes, bounds, SHINGLE)
-                lead = np.concatenate([[0], np.cumsum(raw & 0xC0 != 0x80)])
-                base = lead[offs[text_no]]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(first + text_no)), pa.array(number, pa.int32()), pa.array(lead[a] - base, pa.int64()), pa.array(lead[b] - base, pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.array(signed(_identity(hashes, bounds))), band_values(grams, cuts, odd, bands, rows)],
-                    names=["key", "paragraph", "char_start", "char_end", "words", "node", "bands"],
-                )
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, paragraph int, char_start long, char_end long, words long, node long, bands array<long>")
+def _packed(keys: np.ndarray, buckets: int, base: int) -> pa.RecordBatch:
+    """A row for each bucket of the sorted keys."""
+    bucket = _bucket(keys, buckets)
+    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]] + base, pa.int32()), pa.array([pack_sorted(keys[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["bucket", "keys"])
+
+
+def _marked(held: list[np.ndarray]) -> np.ndarray:
+    """Sorted distinct node hashes, moved up by a bit that says whether one stands here more than once."""
+    nodes = np.sort(np.concatenate(held))
+    first = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]]))
+    return nodes[first] << U(1) | (np.diff(np.append(first, len(nodes))) > 1).astype(U)
+
 
+def repeated(docs: DataFrame, text: str, least: int, bands: int, rows: int) -> tuple[Sorted, Sorted]:
+    """The band values (48 bits) that several nodes share, and the nodes that occur more than once."""
+    spark = docs.sparkSession
+    folder, odd = array_folder(spark, "paragraphs"), multipliers(bands * rows)
+    n_bytes = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
+    made = n_bytes / 6 / 12  # a word has some 6 bytes, and every 12th or so begins a paragraph
+    band_buckets, node_buckets = (1 << max(0, math.ceil(math.log2(max(x / BUCKET, 1)))) for x in (made * bands, made))
 
-def shingle_sets(docs: DataFrame, key: str, text: str, least: int, wanted: Sorted) -> DataFrame:
-    """(node, shingles) of the wanted nodes, read where each first occurs: ``wanted`` has node, paragraph and the key's hash."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values: list[np.ndarray] = []
+        nodes: list[np.ndarray] = []
+        size = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            yield _packed(np.unique(np.concatenate(values)), band_buckets, 0)
+            yield _packed(_marked(nodes), node_buckets, band_buckets)
+            values.clear()
+            nodes.clear()
+
+        for batch in batches:
+            for _, _, raw, offs in chunks(batch.column(0)):
+                _, _, hashes, bounds = worded(raw, offs)
+                p = paragraphs_of(hashes, bounds, least)
+                if not len(p.first):
+                    continue
+                node = identity(hashes, p.begin, p.end)
+                keys = p.bands(odd, bands, rows) >> CHECK << CHECK | (mix(node) >> U(64) - CHECK)[:, None]
+                values.append(keys.ravel())
+                nodes.append(node)
+                size += keys.size
+                if size >= HELD:
+                    yield from out()
+                    size = 0
+        if size:
+            yield from out()
+
+    def save(table: pa.Table) -> pa.Table:
+        bucket = table["bucket"][0].as_py()
+        keys = np.sort(np.concatenate([unpack_sorted(x.as_py()) for x in table["keys"]]))
+        if bucket < band_buckets:
+            value = keys >> CHECK
+            found = np.unique(value[1:][(value[1:] == value[:-1]) & (keys[1:] != keys[:-1])])
+        else:
+            value = keys >> U(1)
+            found = np.unique(np.concatenate([value[1:][value[1:] == value[:-1]], value[keys & U(1) == 1]]))
+        if len(found):
+            write_atomically(f"{folder}/{bucket}-key", signed(found).tobytes())
+        return pa.table({"bucket": pa.array([bucket], pa.int32()), "n": pa.array([len(found)], pa.int64()), "first": pa.array([int(found[0]) if len(found) else 0], pa.int64()), "last": pa.array([int(found[-1]) if len(found) else 0], pa.int64())})
+
+    parts = docs.select(F.col(text).alias("text")).mapInArrow(count, "bucket int, keys binary").groupBy("bucket").applyInArrow(save, "bucket int, n long, first long, last long").filter("n > 0").orderBy("bucket").collect()  # a row for each BUCKET keys
+    both = [tuple(sorted((tuple(r) for r in parts if (r["bucket"] < band_buckets) == low), key=lambda r: r[2])) for low in (True, False)]
+    return tuple(Sorted(folder, ("key",), p) for p in both)
+
+
+def occurrences(docs: DataFrame, key: str, text: str, least: int, bands: int, rows: int, shared: Sorted, again: Sorted) -> DataFrame:
+    """(key, paragraph, char_start, char_end, words, node, values, shingles) of the paragraphs that share a band value or occur again.
+
+    values: the band values shared; shingles: the set of a node that shares one, where this task first meets it.
+    """
+    odd = multipliers(bands * rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = wanted.open()
+        values_of, nodes_of = shared.open(), again.open()
+        told: set[int] = set()
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
             for first, _, raw, offs in chunks(batch.column(1)):
-                text_no, number, _, _, hashes, bounds = _paragraphs(raw, offs, least)
-                if not len(text_no):
+                starts, ends, hashes, bounds = worded(raw, offs)
+                p = paragraphs_of(hashes, bounds, least)
+                if not len(p.first):
                     continue
-                node = signed(_identity(hashes, bounds))
-                distinct, where = np.unique(node, return_inverse=True)
-                which, (paragraph, owner) = have.find(distinct)
-                at = np.full(len(distinct), -1)
-                at[which] = np.arange(len(which))
-                row = at[where]
-                hit = np.flatnonzero((row >= 0) & (paragraph[row] == number) & (owner[row] == keys[first + text_no])) if len(which) else np.zeros(0, int)
+                node = signed(identity(hashes, p.begin, p.end))
+                values = signed(p.bands(odd, bands, rows) >> CHECK)
+                common, more = values_of.holds(values), nodes_of.holds(node)
+                hit = np.flatnonzero(common.any(axis=1) | more)
                 if not len(hit):
                     continue
-                grams, cuts = windows(hashes, bounds, SHINGLE)
-                sets = [np.unique(signed(grams[cuts[i] : cuts[i + 1]])) for i in hit]
-                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["node", "shingles"])
+                lead = np.concatenate([[0], np.cumsum(raw & 0xC0 != 0x80)])
+                base, a, b = lead[offs[p.text[hit]]], starts[p.begin[hit]], ends[p.end[hit] - 1]
+                width = common[hit].sum(axis=1)
+                sets: list[np.ndarray | None] = []
+                for k, n in zip(hit[...].tolist(), width.tolist(), strict=True):
+                    new = n and int(node[k]) not in told
+                    sets.append(p.shingles(k) if new else None)
+                    if new:
+                        told.add(int(node[k]))
+                if len(told) > HELD:
+                    told.clear()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pa.array(first + p.text[hit])), pa.array(p.number[hit], pa.int32()), pa.array(lead[a] - base, pa.int64()), pa.array(lead[b] - base, pa.int64()), pa.array(p.end[hit] - p.begin[hit], pa.int64()), pa.array(node[hit]),
+                        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(width)]).astype(np.int32)), pa.array(values[hit][common[hit]])), pa.array(sets, pa.list_(pa.int64())),
+                    ],
+                    names=["key", "paragraph", "char_start", "char_end", "words", "node", "values", "shingles"],
+                )
 
-    return docs.select(F.xxhash64(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, "node long, shingles array<long>")
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, paragraph int, char_start long, char_end long, words long, node long, values array<long>, shingles array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -190,27 +335,50 @@ def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     component first occurs), keep (whether this is that occurrence; the others are to be removed).
     """
     bands, rows = choose_bands(similarity, recall)
-    every = materialize(occurrences(docs, key, text, least, bands, rows), "paragraphs")
-    nodes = materialize(every.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct("key", "paragraph")).alias("first"), F.first("bands").alias("bands")), "paragraph-nodes")
-    exploded = nodes.select("node", F.explode("bands").alias("v"))
-    shared = exploded.groupBy("v").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("v").alias("u"), "n")
-    buckets = materialize(exploded.join(shared, F.col("v") == F.col("u")).select("v", "node", "n"), "paragraph-members")
-    wanted = buckets.select("node").distinct().select(F.col("node").alias("k")).join(nodes, F.col("k") == F.col("node")).select("node", F.col("first.paragraph").cast("long").alias("paragraph"), F.xxhash64("first.key").alias("owner"))
-    sets = materialize(shingle_sets(docs, key, text, least, write_sorted(materialize(wanted, "paragraph-wanted"), "paragraph-wanted")).dropDuplicates(["node"]), "paragraph-sets")
+    every = materialize(occurrences(docs, key, text, least, bands, rows, *repeated(docs, text, least, bands, rows)), "paragraphs")
+    nodes = materialize(every.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct("key", "paragraph")).alias("first")), "paragraph-nodes")
+    buckets = materialize(every.select("node", F.explode("values").alias("v")).distinct().select("v", "node"), "paragraph-members")
+    sets = materialize(every.filter("shingles is not null").select("node", "shingles").dropDuplicates(["node"]), "paragraph-sets")
     comps = connected_components(link(buckets, sets, similarity))
     named = materialize(nodes.join(comps.select(F.col("node").alias("k"), "component"), F.col("node") == F.col("k"), "left").select("node", "n", "first", F.coalesce("component", "node").alias("component")), "paragraph-named")
     whole = named.groupBy("component").agg(F.sum("n").alias("total"), F.min("first").alias("origin")).filter("total > 1").select(F.col("component").alias("c"), "origin")
-    repeated = materialize(named.join(whole, F.col("component") == F.col("c")).select(F.col("node").alias("k"), "origin"), "paragraph-repeated")
-    out = every.join(repeated, F.col("node") == F.col("k"))
+    again = materialize(named.join(whole, F.col("component") == F.col("c")).select(F.col("node").alias("k"), "origin"), "paragraph-repeated")
+    out = every.select("key", "paragraph", "char_start", "char_end", "words", "node").join(again, F.col("node") == F.col("k"))
     kept = F.col("key").eqNullSafe(F.col("origin.key")) & (F.col("paragraph") == F.col("origin.paragraph"))
     return out.select(F.col("key").alias(key), "paragraph", "char_start", "char_end", "words", F.col("origin.key").alias("component_id"), F.col("origin.paragraph").alias("component_paragraph"), kept.alias("keep"))
 
 
+def rest_of(text: str, gone: list[tuple[int, int]], kept: list[tuple[int, int]]) -> str:
+    """The text without the spans that are gone, but for what kept spans cover."""
+    edges = sorted([(a, 0) for a, _ in gone] + [(b, 1) for _, b in gone] + [(a, 2) for a, _ in kept] + [(b, 3) for _, b in kept])
+    out, at, depth = [], 0, [0, 0]
+    for place, kind in [*edges, (len(text), 4)]:
+        if not depth[0] or depth[1]:
+            out.append(text[at:place])
+        at = place
+        if kind < 4:
+            depth[kind // 2] += 1 - 2 * (kind % 2)
+    return "".join(out)
+
+
 def without_duplicates(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with the paragraphs cut out that ``found`` doesn't keep; all columns stay."""
-    cuts = found.filter("not keep").groupBy(F.col(key).alias("__k")).agg(F.array_sort(F.collect_set(F.struct("char_start", "char_end"))).alias("__cuts"))  # bounded by a text's own lines
-    joined = docs.join(cuts, F.col(key).eqNullSafe(F.col("__k")), "left")
-    whole, ends = F.coalesce(F.col(text), F.lit("")), F.concat(F.array(F.lit(0).cast("long")), F.transform("__cuts", lambda c: c["char_end"]))
-    pieces = F.transform("__cuts", lambda c, i: F.substring(whole, (F.get(ends, i) + 1).cast("int"), (c["char_start"] - F.get(ends, i)).cast("int")))
-    rest = F.concat(F.array_join(pieces, ""), F.substring(whole, (F.element_at(ends, -1) + 1).cast("int"), F.char_length(whole)))
-    return joined.withColumn(text, F.when(F.col("__cuts").isNotNull(), rest).otherwise(F.col(text))).select(*docs.columns)
+    """The documents with the paragraphs cut out that ``found`` doesn't keep; all columns stay.
+
+    Where a paragraph that goes overlaps one that is kept, the kept one stays whole, so of each component one whole occurrence is left.
+    """
+    k, cuts = unused(docs, "cut_key"), unused(docs, "cuts")
+    by_key = found.groupBy(F.col(key).alias(k)).agg(F.collect_list(F.struct("char_start", "char_end", "keep")).alias(cuts))  # bounded by a text's own paragraphs
+    joined = docs.join(by_key, F.col(f"`{key}`").eqNullSafe(F.col(k)), "left").select(*(docs[f"`{c}`"] for c in docs.columns), cuts)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [
+                t if t is None or c is None else rest_of(t, [(x["char_start"], x["char_end"]) for x in c if not x["keep"]], [(x["char_start"], x["char_end"]) for x in c if x["keep"]])
+                for t, c in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)
+            ]
+            columns = batch.columns[:-1]
+            columns[at] = pa.array(texts, batch.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    return joined.mapInArrow(run, docs.schema)

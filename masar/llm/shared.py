@@ -70,6 +70,14 @@ def drop_uri(spark: SparkSession, uri: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores behind it until no column of ``df`` has it; Spark doesn't tell upper from lower case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def write_atomically(path: str, data: bytes) -> None:
     """A retried or doubled task leaves the same whole file."""
     part = f"{path}.{uuid.uuid4().hex[:8]}.part"

@@ -106,6 +106,19 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(out + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
 
 
+def prefix_hashes(hashes: np.ndarray) -> np.ndarray:
+    """Prefix sums from which ``range_hashes`` reads a hash of any run of words."""
+    out = np.zeros(len(hashes) + 1, U)
+    np.cumsum(hashes * _power(_BASE, len(hashes)), out=out[1:])
+    return out
+
+
+def range_hashes(prefix: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the words from begin to end, in order; it doesn't depend on where they stand."""
+    out = (prefix[end] - prefix[begin]) * _power(_INVERSE, len(prefix))[begin]
+    return mix(out + (end - begin).astype(U) * U(0xD6E8FEB86659FD93))
+
+
 def per_text(starts: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Bounds of each text's words among all words of the chunk: text i has words bounds[i] to bounds[i+1]."""
     return np.searchsorted(starts, offs)

@@ -1,30 +1,69 @@
 import random
-from collections import defaultdict
-from itertools import combinations
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
 
 from masar.llm import paragraphs as p
+from masar.llm.textkit import U, mix, spans, word_hashes
 
 SCHEMA = "doc_id long, text string, node string, bands string"
 
 
 def words(s):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s)
-    return [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", low) if w]
-
-
-def slow(rows, least=p.LEAST):
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", low) if w]
+
+
+def word_spans(s):
+    """(start, end, word) in code points."""
+    return [(m.start(), m.end(), words(m[0])[0]) for m in re.finditer(r"[^\x20\x09-\x0D]+", s)]
+
+
+def hashed(ws):
+    raw = np.frombuffer(" ".join(ws).encode(), np.uint8)
+    return word_hashes(raw, *spans(raw, np.array([0, len(raw)])))
+
+
+def cut(ws, least=p.LEAST, reach=p.REACH, piece=p.PIECE):
+    """(first word, end word) of each paragraph of a text's words."""
+    n = len(ws)
+    if not n:
+        return []
+    if n < least:
+        return [(0, n)]
+    h = hashed(ws)
+    score = [None] + [int(mix(h[i - 1 : i] * U(0x9E3779B97F4A7C15) + h[i : i + 1])[0]) for i in range(1, n)]
+    edges = [0]
+    for i in range(reach + 1, n - reach):
+        if all(score[i] < score[i - k] and score[i] <= score[i + k] for k in range(1, reach + 1)):
+            edges.append(i)
+    full = []
+    for a, b in zip(edges, [*edges[1:], n]):
+        full += [a + piece * k for k in range((b - a) // piece)] if b - a >= 2 * piece else [a]
+    full.append(n)
+    out = {}
+    for a in full[:-1]:
+        end = next((b for b in full if b - a >= least), None)
+        if end:
+            out[end] = a  # of paragraphs with one end the shortest
+    return sorted((a, b) for b, a in out.items())
+
+
+def slow(rows):
     """{(id, paragraph, start, end): (origin id, origin paragraph)} of repeated paragraphs, by comparing all pairs."""
     at = []
     for i, t, *_ in rows:
-        n, pos = 0, 0
-        for line in (t or "").replace("\r", "\n").split("\n"):
-            if line:
-                if len(words(line)) >= least:
-                    at.append(((-1 if i is None else i, n, pos, pos + len(line)), tuple(words(line))))
-                n += 1
-            pos += len(line) + 1
+        found = word_spans(t or "")
+        ws = [w for _, _, w in found]
+        for n, (a, b) in enumerate(cut(ws)):
+            at.append(((-1 if i is None else i, n, found[a][0], found[b - 1][1]), tuple(ws[a:b])))
     texts = sorted({w for _, w in at})
-    sets = [{w[k : k + 5] for k in range(len(w) - 4)} for w in texts]
+    sets = [{w[k : k + 5] for k in range(max(len(w) - 4, 1))} for w in texts]
+    holders = defaultdict(list)
+    for k, s in enumerate(sets):
+        for x in s:
+            holders[x].append(k)
     root = list(range(len(texts)))
 
     def find(x):
@@ -32,10 +71,11 @@ def slow(rows, least=p.LEAST):
             x = root[x]
         return x
 
-    for a, b in combinations(range(len(texts)), 2):
-        x = len(sets[a] & sets[b])
-        if x >= 0.8 * (len(sets[a]) + len(sets[b]) - x):
-            root[find(a)] = find(b)
+    for a, s in enumerate(sets):
+        shared = Counter(b for x in s for b in holders[x] if b < a)
+        for b, x in shared.items():
+            if x >= 0.8 * (len(s) + len(sets[b]) - x):
+                root[find(a)] = find(b)
     groups = defaultdict(list)
     where = {w: k for k, w in enumerate(texts)}
     for place, w in at:
@@ -65,6 +105,7 @@ def data(seed=1):
         w = list(near)
         w[rng.randrange(80)] = f"n{k}"
         rows.append((1000 + k, "😀 head\n" + " ".join(w), None, None))
+    rows += [(1500 + k, "Der " * n, "", "") for k, n in enumerate((70, 300, 300, 19, 19, 63))]  # a word over and over
     rows += [(2000, None, "", ""), (2001, "", "", ""), (2002, "\n \n", "", ""), (3, rows[3][1], "", ""), (None, " ".join(stock[1]), "", ""), (2003, "\n".join(" ".join(line(50)) for _ in range(1500)) + "\n" + " ".join(stock[2]), "", "")]
     return rows
 
@@ -83,14 +124,14 @@ def test_cut_texts(spark):
     rows = [r for r in data(2) if r[0] is not None and r[0] != 3]
     docs = spark.createDataFrame(rows, SCHEMA)
     found = p.duplicates(docs)
-    gone = defaultdict(list)
-    for r in found.filter("not keep").collect():
-        gone[r["doc_id"]].append((r["char_start"], r["char_end"]))
+    gone, stay = defaultdict(list), defaultdict(list)
+    for r in found.collect():
+        (stay if r["keep"] else gone)[r["doc_id"]].append((r["char_start"], r["char_end"]))
     got = {r["doc_id"]: tuple(r) for r in p.without_duplicates(docs, found).collect()}
     assert len(got) == len(rows) and gone
     for i, t, *rest in rows:
-        for a, b in sorted(gone.get(i, []), reverse=True):
-            t = t[:a] + t[b:]
+        if t is not None:
+            t = "".join(c for k, c in enumerate(t) if not any(a <= k < b for a, b in gone.get(i, [])) or any(a <= k < b for a, b in stay.get(i, [])))
         assert got[i] == (i, t, *rest)
 
 
@@ -114,3 +155,32 @@ def test_dissimilar_members_of_one_bucket(spark):
 
     got = {r["node"]: r["component"] for r in connected_components(p.link(buckets, frame, 0.8)).collect()}
     assert got == {k: 0 for k in range(0, 40, 4)}
+
+
+def test_passages_inside_and_across_lines(spark):
+    """Passages of 51 words and more are caught wherever they stand; texts of their own words aren't."""
+    rng = random.Random(5)
+    line = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    rows, holders = [], {}
+    for k in range(300):
+        passage = line(rng.choice([51, 55, 60, 80]))
+        for copy in range(2):
+            ws = line(rng.randrange(5, 200)) + passage + line(rng.randrange(5, 200))
+            step = rng.choice([4, 9, 17, 1000])  # lines of so many words, cut without regard to the passage
+            rows.append((2 * k + copy, "\n".join(" ".join(ws[a : a + step]) for a in range(0, len(ws), step)), "", ""))
+            holders[2 * k + copy] = k
+    rows += [(10_000 + k, " ".join(line(300)), "", "") for k in range(300)]
+    found = {r["doc_id"] for r in p.duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    assert len(found & set(holders)) >= 0.96 * len(holders)
+    assert found <= set(holders)
+
+
+def test_clashing_columns(spark):
+    rows = [r for r in data(4) if r[0] is not None and r[0] != 3][:80]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for extra in ("cut_key", "cuts", "key", "node", "component", "keep", "k", "Char_Start"):
+        docs = docs.withColumn(extra, docs.doc_id % 7)
+    found = p.duplicates(docs)
+    plain = p.duplicates(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(map(str, found.collect())) == sorted(map(str, plain.collect()))
+    assert p.without_duplicates(docs, found).columns == docs.columns and p.without_duplicates(docs, found).count() == len(rows)
