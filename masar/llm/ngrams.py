@@ -25,11 +25,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from masar.llm.blocks import counted, pack_numbers, pack_sorted, summed, unpack_numbers, unpack_sorted
-from masar.llm.shared import array_folder, write_atomically
+from masar.llm.shared import array_folder, partitions, write_atomically
 from masar.llm.textkit import U, chunks, mix, per_text, spans, word_hashes
 
 #: Distinct keys that a task holds before it sends them on, and about as many in a bucket.
@@ -107,21 +107,33 @@ def _save(folder: str, name: str, array: np.ndarray) -> None:
     write_atomically(f"{folder}/{name}", np.ascontiguousarray(array).tobytes())
 
 
+class _Files:
+    """Arrays by bucket, each mapped when it is first asked for: a task opens only the files whose keys it meets."""
+
+    def __init__(self, folder: str, name: str, dtype: type, shape: tuple[int, ...] = (-1,)) -> None:
+        self.folder, self.name, self.dtype, self.shape = folder, name, dtype, shape
+        self.mapped: dict[int, np.ndarray] = {}
+
+    def __getitem__(self, bucket: int) -> np.ndarray:
+        if bucket not in self.mapped:
+            self.mapped[bucket] = _load(self.folder, f"{self.name}-{bucket}", self.dtype).reshape(self.shape)
+        return self.mapped[bucket]
+
+
 def _load(folder: str, name: str, dtype: type) -> np.ndarray:
     path = f"{folder}/{name}"
     return np.memmap(path, dtype, "r") if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, dtype)
 
 
-def _find(keys: np.ndarray, arrays: list[np.ndarray], bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _find(keys: np.ndarray, arrays: _Files, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each of the sorted distinct keys stands in its bucket's array, and whether it does."""
     at, there = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
     order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(len(arrays) + 1))
-    for b in np.flatnonzero(np.diff(cuts)):
-        own = order[cuts[b] : cuts[b + 1]]
-        if len(arrays[b]):
-            spot = np.minimum(np.searchsorted(arrays[b], keys[own]), len(arrays[b]) - 1)
-            at[own], there[own] = spot, arrays[b][spot] == keys[own]
+    met, cuts = np.unique(bucket[order], return_index=True)
+    for b, own in zip(met.tolist(), np.split(order, cuts[1:]), strict=False):
+        if len(held := arrays[b]):
+            spot = np.minimum(np.searchsorted(held, keys[own]), len(held) - 1)
+            at[own], there[own] = spot, held[spot] == keys[own]
     return at, there
 
 
@@ -172,12 +184,10 @@ class Reader:
     def __init__(self, model: Model, with_pairs: bool = True) -> None:
         m, f = model, model.folder
         self.model = m
-        self.words = [_load(f, f"word-{b}", U) for b in range(m.word_buckets)]
-        self.counts = [_load(f, f"count-{b}", np.int64) for b in range(m.word_buckets)]
+        self.words, self.counts = _Files(f, "word", U), _Files(f, "count", np.int64)
         if with_pairs:
-            self.stats = [_load(f, f"stat-{b}", np.float64).reshape(-1, 2) for b in range(m.word_buckets)]
-            self.pairs = [_load(f, f"pair-{b}", U) for b in range(m.pair_buckets)]
-            self.pair_counts = [_load(f, f"paircount-{b}", np.uint32) for b in range(m.pair_buckets)]
+            self.stats = _Files(f, "stat", np.float64, (-1, 2))
+            self.pairs, self.pair_counts = _Files(f, "pair", U), _Files(f, "paircount", np.uint32)
             self.start = _load(f, "start", np.float64)
 
     def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,15 +197,19 @@ class Reader:
         base = np.array(self.model.bases, np.int64)
         return np.where(there, base[bucket] + at, -1), bucket, at
 
-    def gather(self, arrays: list[np.ndarray], bucket: np.ndarray, at: np.ndarray, known: np.ndarray) -> np.ndarray:
-        shape = (len(at), *arrays[0].shape[1:])
-        out = np.zeros(shape, arrays[0].dtype)
-        for b in np.unique(bucket[known]):
+    def gather(self, arrays: _Files, bucket: np.ndarray, at: np.ndarray, known: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(at), *arrays.shape[1:]), arrays.dtype)
+        for b in np.unique(bucket[known]).tolist():
             own = np.flatnonzero(known & (bucket == b))
             out[own] = arrays[b][at[own]]
         return out
 
 
+def by_bucket(rows: DataFrame, buckets: int) -> GroupedData:
+    """Groups by bucket, with as many tasks as buckets where these are more than the session's partitions."""
+    return rows.repartition(max(buckets, partitions(rows.sparkSession)), "bucket").groupBy("bucket")
+
+
 def _word_stage(train: DataFrame, buckets: int, folder: str) -> tuple[list[int], int, int]:
     proto = Model(folder, buckets, 1, (), 0, 0, 0, 0, (0,) * 3, (0,) * 3, 0)
 
@@ -213,7 +227,7 @@ def _word_stage(train: DataFrame, buckets: int, folder: str) -> tuple[list[int],
         _save(folder, f"count-{bucket}", n)
         return pa.table({"bucket": pa.array([bucket], pa.int32()), "types": pa.array([len(keys)], pa.int64()), "tokens": pa.array([int(n.sum())], pa.int64())})
 
-    made = train.mapInArrow(count, "bucket int, keys binary, v0 binary").groupBy("bucket").applyInArrow(save, "bucket int, types long, tokens long").collect()  # a row a bucket
+    made = by_bucket(train.mapInArrow(count, "bucket int, keys binary, v0 binary"), buckets).applyInArrow(save, "bucket int, types long, tokens long").collect()  # a row a bucket
     types = [0] * buckets
     for row in made:
         types[row["bucket"]] = row["types"]
@@ -243,7 +257,7 @@ def _pair_stage(train: DataFrame, model: Model) -> tuple[int, list[int]]:
         _save(folder, f"paircount-{bucket}", np.minimum(n, 2**32 - 1).astype(np.uint32))
         return pa.table({"bucket": pa.array([bucket], pa.int32()), "types": pa.array([len(keys)], pa.int64()), **{f"n{k}": pa.array([int((n == k).sum())], pa.int64()) for k in (1, 2, 3, 4)}})
 
-    made = train.mapInArrow(count, "bucket int, keys binary, v0 binary").groupBy("bucket").applyInArrow(save, "bucket int, types long, n1 long, n2 long, n3 long, n4 long").collect()  # a row a bucket
+    made = by_bucket(train.mapInArrow(count, "bucket int, keys binary, v0 binary"), model.pair_buckets).applyInArrow(save, "bucket int, types long, n1 long, n2 long, n3 long, n4 long").collect()  # a row a bucket
     return sum(r["types"] for r in made), [sum(r[f"n{k}"] for r in made) for k in (1, 2, 3, 4)]
 
 
@@ -286,7 +300,7 @@ def _context_stage(train: DataFrame, model: Model) -> list[int]:
 
     # one task for a few buckets of pairs
     every = spark.range(0, model.pair_buckets, 1, min(model.pair_buckets, 4096)).select(F.col("id").cast("int").alias("b"))
-    made = every.mapInArrow(spread, "bucket int, keys binary, v0 binary, v1 binary, v2 binary, v3 binary").groupBy("bucket").applyInArrow(save, "n1 long, n2 long, n3 long, n4 long, n5 long").collect()  # a row a bucket
+    made = by_bucket(every.mapInArrow(spread, "bucket int, keys binary, v0 binary, v1 binary, v2 binary, v3 binary"), len(bases)).applyInArrow(save, "n1 long, n2 long, n3 long, n4 long, n5 long").collect()  # a row a bucket
     return [sum(r[f"n{k}"] for r in made) for k in (1, 2, 3, 4, 5)]
 
 

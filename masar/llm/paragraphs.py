@@ -1,23 +1,24 @@
 """Substring dedup: paragraphs by MinHash banding.
 
-Paragraphs are cut where the words themselves say so, not at line ends, so that a passage yields the same paragraphs wherever it stands:
-inside a longer line, over several short lines, or in a text without lines.  A *boundary* is a word where a hash of it and of the word before is the least
-among the ``REACH`` places on either side; stretches of ``2 * PIECE`` words without one (a word repeated over and over) are cut every ``PIECE`` words.
-From each boundary a paragraph runs to the first boundary that leaves it ``LEAST`` words or more; of paragraphs with one end the
-shortest counts.  So paragraphs overlap, each less than the similarity with the next, and a passage of 51 words holds a whole one in 97 of 100 cases.
+Two kinds of paragraphs.  A *line* of ``LEAST`` words or more is a paragraph as its author cut it.  *Pieces* are cut where the words themselves say so, so that a
+passage yields the same pieces wherever it stands: inside a longer line, over several short lines, or in a text without lines.  A boundary is a word
+where a hash of it and of the word before is the least among the ``REACH`` places on either side; stretches of ``2 * PIECE`` words without one (a word
+repeated over and over) are cut every ``PIECE`` words.  From each boundary a piece runs to the first boundary that leaves it ``LEAST`` words or more; of
+pieces with one end the shortest counts.  A passage of 51 words holds a whole piece in 97 of 100 cases, one of 60 words in 98.
 
-Equal paragraphs, by a hash of their words, are one node.  MinHash values of five-word shingles are banded, the bands tuned for recall at the
-similarity; paragraphs that share a band are candidates, verified by the exact Jaccard similarity of their shingle sets;
-links become components, and of each component the first occurrence stays.
+Equal paragraphs of a kind, by a hash of their words, are one node.  MinHash values of the lines' five-word shingles are banded, the bands tuned for recall at the
+similarity; lines that share a band are candidates, verified by the exact Jaccard similarity of their shingle sets;
+links become components, and of each component the first occurrence stays.  Pieces are so short that one word changed inside leaves less than the
+similarity; only equal ones are linked, by their hash.
 
 Two passes over the texts.  The first sends sorted, packed band values and node hashes to buckets of the hash range; what is found there of more
 than one node, or more than once, becomes sorted arrays in the shared folder.  The second maps these and returns only paragraphs that meet one of them, so what
-occurs once is never shuffled as rows.  The paragraphs of a band value aren't expanded into all pairs.  First all are verified against the most central of them (the one whose
-band values most others share, and whose shingles the others hold), which joins copies of one original.  Values whose paragraphs
+occurs once is never shuffled as rows.  The lines of a band value aren't expanded into all pairs.  First all are verified against the most central of them (the one whose
+band values most others share, and whose shingles the others hold), which joins copies of one original.  Values whose lines
 aren't one component then are verified across components, so that no link is lost.  Pairs are made only where the shingles that
 a set shares with any other allow the overlap that the similarity needs.
 
-Defined results: null and empty texts have no paragraphs; a text of fewer words than ``LEAST`` is one paragraph; after a text's last paragraph
+Defined results: null and empty texts have no paragraphs; a text of fewer words than ``LEAST`` is one piece; after a text's last piece
 fewer words than that may be left, which belong to none; a paragraph that repeats within a text counts as well; of repeated rows with one
 key all occurrences of the kept paragraph are kept; a null key sorts first among occurrences; an empty table gives an empty table; extra
 columns are ignored.
@@ -37,9 +38,12 @@ from pyspark.sql import functions as F
 from masar.llm.arrays import Sorted
 from masar.llm.blocks import pack_sorted, unpack_sorted
 from masar.llm.components import connected_components
+from masar.llm.ngrams import by_bucket
 from masar.llm.shared import array_folder, materialize, unused, write_atomically
 from masar.llm.textkit import U, chunks, mix, per_text, prefix_hashes, range_hashes, signed, spans, windows, word_hashes
 
+_NEWLINE = np.zeros(256, bool)
+_NEWLINE[[10, 13]] = True
 LEAST, REACH, PIECE, SHINGLE, SIMILARITY, RECALL, HASHES = 20, 4, 32, 5, 0.8, 0.999, 32
 #: Distinct keys that a task holds before it sends them on, and about as many in a bucket.
 HELD, BUCKET = 2_000_000, 2_000_000
@@ -77,53 +81,8 @@ def segments(hashes: np.ndarray, bounds: np.ndarray, reach: int = REACH, piece:
     return np.repeat(starts, pieces) + piece * within
 
 
-@dataclass(frozen=True)
-class Paragraphs:
-    """The paragraphs of a chunk in order: each runs from segment ``first`` to segment ``last``, both included."""
-
-    text: np.ndarray
-    number: np.ndarray
-    first: np.ndarray
-    last: np.ndarray
-    starts: np.ndarray  # words at which segments begin
-    ends: np.ndarray  # and end
-    grams: np.ndarray  # hashes of all shingles of the chunk
-    gram_from: np.ndarray  # the first shingle of each segment
-    gram_to: np.ndarray  # the end of the shingles that lie within it
-
-    @property
-    def begin(self) -> np.ndarray:
-        return self.starts[self.first]
-
-    @property
-    def end(self) -> np.ndarray:
-        return self.ends[self.last]
-
-    def bands(self, odd: np.ndarray, bands: int, rows: int) -> np.ndarray:
-        """A row of band values for each paragraph."""
-        cuts = np.ravel(np.column_stack([self.gram_from, self.gram_to]))
-        inside = len(self.starts) + self.last
-        most = int((self.last - self.first).max(initial=0))
-        parts = [np.where(self.first + k < self.last, self.first + k, inside) for k in range(most)]
-        out = np.empty((len(self.first), bands), U)
-        for b in range(bands):
-            band = np.full(len(self.first), b, U)
-            for j in range(rows):
-                low = np.minimum.reduceat(np.append(self.grams * odd[b * rows + j], ~U(0)), cuts)
-                table = np.concatenate([np.minimum(low[::2], low[1::2]), low[::2]])  # of a segment and what reaches over its end; of what lies within it
-                least = table[inside]
-                for part in parts:
-                    least = np.minimum(least, table[part])
-                band = mix(band * U(31) ^ least)
-            out[:, b] = band
-        return out
-
-    def shingles(self, k: int) -> np.ndarray:
-        """The distinct shingles of one paragraph, in order."""
-        return np.unique(signed(self.grams[self.gram_from[self.first[k]] : self.gram_to[self.last[k]]]))
-
-
-def paragraphs_of(hashes: np.ndarray, bounds: np.ndarray, least: int = LEAST) -> Paragraphs:
+def pieces(hashes: np.ndarray, bounds: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first word, end word) of the pieces, in order."""
     sizes, starts = np.diff(bounds), segments(hashes, bounds)
     ends = np.append(starts[1:], len(hashes))[: len(starts)]
     text = np.searchsorted(bounds, starts, "right") - 1
@@ -135,23 +94,36 @@ def paragraphs_of(hashes: np.ndarray, bounds: np.ndarray, least: int = LEAST) ->
     real = np.where(short, np.arange(len(starts)) == begun, last < over)
     if len(starts):
         real[:-1] &= ~((last[:-1] == last[1:]) & real[1:] & (text[:-1] == text[1:]))
-    grams, cuts = windows(hashes, bounds, SHINGLE)
-    gram_from = cuts[text] + starts - bounds[text]
-    gram_to = np.maximum(cuts[text] + ends - bounds[text] - (SHINGLE - 1), gram_from + 1)
-    first = np.flatnonzero(real)
-    text = text[first]
-    number = np.arange(len(first)) - np.searchsorted(text, text)
-    return Paragraphs(text, number, first, last[first], starts, ends, grams, gram_from, gram_to)
+    return text[real], starts[real], ends[last[real]]
 
 
-def identity(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of the words from begin to end, in order; 63 bits."""
-    return range_hashes(prefix_hashes(hashes), begin, end) >> U(1)
+@dataclass(frozen=True)
+class Paragraphs:
+    """The paragraphs of a chunk: ``lines`` lines, then the pieces."""
 
+    lines: int
+    text: np.ndarray
+    number: np.ndarray  # within the text, of the kind
+    begin: np.ndarray  # first byte
+    end: np.ndarray
+    words: np.ndarray
+    node: np.ndarray
+    grams: np.ndarray  # hashes of the lines' shingles
+    cuts: np.ndarray  # and their bounds
 
-def multipliers(n: int) -> np.ndarray:
-    """Odd numbers, one for each MinHash function."""
-    return mix(np.arange(1, n + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15)) | U(1)
+    def bands(self, odd: np.ndarray, bands: int, rows: int) -> np.ndarray:
+        """A row of band values for each line."""
+        out = np.empty((self.lines, bands), U)
+        for b in range(bands if self.lines else 0):
+            band = np.full(self.lines, b, U)
+            for j in range(rows):
+                band = mix(band * U(31) ^ np.minimum.reduceat(self.grams * odd[b * rows + j], self.cuts[:-1]))
+            out[:, b] = band
+        return out
+
+    def shingles(self, k: int) -> np.ndarray:
+        """The distinct shingles of a line, in order."""
+        return np.unique(signed(self.grams[self.cuts[k] : self.cuts[k + 1]]))
 
 
 def worded(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -160,6 +132,30 @@ def worded(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts, ends, word_hashes(raw, starts, ends), per_text(starts, offs)
 
 
+def paragraphs_of(raw: np.ndarray, offs: np.ndarray, least: int = LEAST) -> Paragraphs:
+    starts, ends, hashes, bounds = worded(raw, offs)
+    a, b = spans(raw, offs, _NEWLINE)
+    line_text = np.searchsorted(offs, a, "right") - 1
+    line_number = np.arange(len(a)) - np.searchsorted(line_text, line_text)
+    cuts = np.append(np.searchsorted(starts, a), len(starts))
+    long = np.diff(cuts) >= least
+    inside = np.concatenate([[0], np.cumsum(np.diff(cuts)[long])])
+    grams, gram_cuts = windows(hashes[np.repeat(long, np.diff(cuts))] if len(a) else hashes, inside, SHINGLE)
+    text, first, end = pieces(hashes, bounds, least)
+    prefix = prefix_hashes(hashes)
+    lines, others = range_hashes(prefix, cuts[:-1][long], cuts[1:][long]), range_hashes(prefix, first, end)
+    return Paragraphs(
+        int(long.sum()), np.concatenate([line_text[long], text]), np.concatenate([line_number[long], np.arange(len(text)) - np.searchsorted(text, text)]),
+        np.concatenate([a[long], starts[first]]), np.concatenate([b[long], ends[end - 1]]), np.concatenate([np.diff(cuts)[long], end - first]),
+        np.concatenate([mix(lines + U(1)), others]) >> U(1), grams, gram_cuts,
+    )
+
+
+def multipliers(n: int) -> np.ndarray:
+    """Odd numbers, one for each MinHash function."""
+    return mix(np.arange(1, n + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15)) | U(1)
+
+
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (keys >> U(40)).astype(np.int64) * buckets >> 24
 
@@ -183,8 +179,8 @@ def repeated(docs: DataFrame, text: str, least: int, bands: int, rows: int) -> t
     spark = docs.sparkSession
     folder, odd = array_folder(spark, "paragraphs"), multipliers(bands * rows)
     n_bytes = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
-    made = n_bytes / 6 / 12  # a word has some 6 bytes, and every 12th or so begins a paragraph
-    band_buckets, node_buckets = (1 << max(0, math.ceil(math.log2(max(x / BUCKET, 1)))) for x in (made * bands, made))
+    words = n_bytes / 6  # a word has some 6 bytes, every 12th or so begins a piece, and a line in question has some 40
+    band_buckets, node_buckets = (1 << max(0, math.ceil(math.log2(max(x / BUCKET, 1)))) for x in (words / 40 * bands, words / 12))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values: list[np.ndarray] = []
@@ -192,22 +188,19 @@ def repeated(docs: DataFrame, text: str, least: int, bands: int, rows: int) -> t
         size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            yield _packed(np.unique(np.concatenate(values)), band_buckets, 0)
+            if any(map(len, values)):
+                yield _packed(np.unique(np.concatenate(values)), band_buckets, 0)
             yield _packed(_marked(nodes), node_buckets, band_buckets)
             values.clear()
             nodes.clear()
 
         for batch in batches:
             for _, _, raw, offs in chunks(batch.column(0)):
-                _, _, hashes, bounds = worded(raw, offs)
-                p = paragraphs_of(hashes, bounds, least)
-                if not len(p.first):
-                    continue
-                node = identity(hashes, p.begin, p.end)
-                keys = p.bands(odd, bands, rows) >> CHECK << CHECK | (mix(node) >> U(64) - CHECK)[:, None]
+                p = paragraphs_of(raw, offs, least)
+                keys = p.bands(odd, bands, rows) >> CHECK << CHECK | (mix(p.node[: p.lines]) >> U(64) - CHECK)[:, None]
                 values.append(keys.ravel())
-                nodes.append(node)
-                size += keys.size
+                nodes.append(p.node)
+                size += keys.size + len(p.node)
                 if size >= HELD:
                     yield from out()
                     size = 0
@@ -227,13 +220,13 @@ def repeated(docs: DataFrame, text: str, least: int, bands: int, rows: int) -> t
             write_atomically(f"{folder}/{bucket}-key", signed(found).tobytes())
         return pa.table({"bucket": pa.array([bucket], pa.int32()), "n": pa.array([len(found)], pa.int64()), "first": pa.array([int(found[0]) if len(found) else 0], pa.int64()), "last": pa.array([int(found[-1]) if len(found) else 0], pa.int64())})
 
-    parts = docs.select(F.col(text).alias("text")).mapInArrow(count, "bucket int, keys binary").groupBy("bucket").applyInArrow(save, "bucket int, n long, first long, last long").filter("n > 0").orderBy("bucket").collect()  # a row for each BUCKET keys
+    parts = by_bucket(docs.select(F.col(text).alias("text")).mapInArrow(count, "bucket int, keys binary"), band_buckets + node_buckets).applyInArrow(save, "bucket int, n long, first long, last long").filter("n > 0").orderBy("bucket").collect()  # a row for each BUCKET keys
     both = [tuple(sorted((tuple(r) for r in parts if (r["bucket"] < band_buckets) == low), key=lambda r: r[2])) for low in (True, False)]
     return tuple(Sorted(folder, ("key",), p) for p in both)
 
 
 def occurrences(docs: DataFrame, key: str, text: str, least: int, bands: int, rows: int, shared: Sorted, again: Sorted) -> DataFrame:
-    """(key, paragraph, char_start, char_end, words, node, values, shingles) of the paragraphs that share a band value or occur again.
+    """(key, kind, paragraph, char_start, char_end, words, node, values, shingles) of the paragraphs that share a band value or occur again.
 
     values: the band values shared; shingles: the set of a node that shares one, where this task first meets it.
     """
@@ -244,37 +237,35 @@ def occurrences(docs: DataFrame, key: str, text: str, least: int, bands: int, ro
         told: set[int] = set()
         for batch in batches:
             for first, _, raw, offs in chunks(batch.column(1)):
-                starts, ends, hashes, bounds = worded(raw, offs)
-                p = paragraphs_of(hashes, bounds, least)
-                if not len(p.first):
-                    continue
-                node = signed(identity(hashes, p.begin, p.end))
-                values = signed(p.bands(odd, bands, rows) >> CHECK)
-                common, more = values_of.holds(values), nodes_of.holds(node)
-                hit = np.flatnonzero(common.any(axis=1) | more)
+                p = paragraphs_of(raw, offs, least)
+                node, values = signed(p.node), signed(p.bands(odd, bands, rows) >> CHECK)
+                common = values_of.holds(values)
+                wanted = nodes_of.holds(node)
+                wanted[: p.lines] |= common.any(axis=1)
+                hit = np.flatnonzero(wanted)
                 if not len(hit):
                     continue
                 lead = np.concatenate([[0], np.cumsum(raw & 0xC0 != 0x80)])
-                base, a, b = lead[offs[p.text[hit]]], starts[p.begin[hit]], ends[p.end[hit] - 1]
-                width = common[hit].sum(axis=1)
-                sets: list[np.ndarray | None] = []
-                for k, n in zip(hit[...].tolist(), width.tolist(), strict=True):
-                    new = n and int(node[k]) not in told
-                    sets.append(p.shingles(k) if new else None)
-                    if new:
+                base, few = lead[offs[p.text[hit]]], hit[hit < p.lines]
+                width = np.zeros(len(hit), np.int64)
+                width[: len(few)] = common[few].sum(axis=1)
+                sets: list[np.ndarray | None] = [None] * len(hit)
+                for at, k in enumerate(few.tolist()):
+                    if width[at] and int(node[k]) not in told:
+                        sets[at] = p.shingles(k)
                         told.add(int(node[k]))
                 if len(told) > HELD:
                     told.clear()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).take(pa.array(first + p.text[hit])), pa.array(p.number[hit], pa.int32()), pa.array(lead[a] - base, pa.int64()), pa.array(lead[b] - base, pa.int64()), pa.array(p.end[hit] - p.begin[hit], pa.int64()), pa.array(node[hit]),
-                        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(width)]).astype(np.int32)), pa.array(values[hit][common[hit]])), pa.array(sets, pa.list_(pa.int64())),
+                        batch.column(0).take(pa.array(first + p.text[hit])), pa.array(np.where(hit < p.lines, "line", "piece")), pa.array(p.number[hit], pa.int32()), pa.array(lead[p.begin[hit]] - base, pa.int64()), pa.array(lead[p.end[hit]] - base, pa.int64()), pa.array(p.words[hit], pa.int64()), pa.array(node[hit]),
+                        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(width)]).astype(np.int32)), pa.array(values[few][common[few]])), pa.array(sets, pa.list_(pa.int64())),
                     ],
-                    names=["key", "paragraph", "char_start", "char_end", "words", "node", "values", "shingles"],
+                    names=["key", "kind", "paragraph", "char_start", "char_end", "words", "node", "values", "shingles"],
                 )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, paragraph int, char_start long, char_end long, words long, node long, values array<long>, shingles array<long>")
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, kind string, paragraph int, char_start long, char_end long, words long, node long, values array<long>, shingles array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -331,7 +322,7 @@ def link(buckets: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """A row for each occurrence of a paragraph that has a duplicate.
 
-    key, paragraph (number within the text), char_start, char_end (code points), words, component_id and component_paragraph (where the
+    key, kind (line or piece), paragraph (number within the text, of its kind), char_start, char_end (code points), words, component_id and component_paragraph (where the
     component first occurs), keep (whether this is that occurrence; the others are to be removed).
     """
     bands, rows = choose_bands(similarity, recall)
@@ -343,9 +334,9 @@ def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     named = materialize(nodes.join(comps.select(F.col("node").alias("k"), "component"), F.col("node") == F.col("k"), "left").select("node", "n", "first", F.coalesce("component", "node").alias("component")), "paragraph-named")
     whole = named.groupBy("component").agg(F.sum("n").alias("total"), F.min("first").alias("origin")).filter("total > 1").select(F.col("component").alias("c"), "origin")
     again = materialize(named.join(whole, F.col("component") == F.col("c")).select(F.col("node").alias("k"), "origin"), "paragraph-repeated")
-    out = every.select("key", "paragraph", "char_start", "char_end", "words", "node").join(again, F.col("node") == F.col("k"))
+    out = every.select("key", "kind", "paragraph", "char_start", "char_end", "words", "node").join(again, F.col("node") == F.col("k"))
     kept = F.col("key").eqNullSafe(F.col("origin.key")) & (F.col("paragraph") == F.col("origin.paragraph"))
-    return out.select(F.col("key").alias(key), "paragraph", "char_start", "char_end", "words", F.col("origin.key").alias("component_id"), F.col("origin.paragraph").alias("component_paragraph"), kept.alias("keep"))
+    return out.select(F.col("key").alias(key), "kind", "paragraph", "char_start", "char_end", "words", F.col("origin.key").alias("component_id"), F.col("origin.paragraph").alias("component_paragraph"), kept.alias("keep"))
 
 
 def rest_of(text: str, gone: list[tuple[int, int]], kept: list[tuple[int, int]]) -> str:

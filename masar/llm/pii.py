@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from masar.llm.shared import materialize
+from masar.llm.shared import materialize, unused
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
@@ -296,12 +296,12 @@ def learn(found: DataFrame, column: str) -> tuple[SpanClassifier, Reliability]:
 
 def detect(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",), base: str = "base", spans: str = "spans") -> DataFrame:
     """The ``keep`` columns, ``base`` and ``spans``: arrays of struct<start, kind, end>, kind as a place in KINDS."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    found = materialize(docs.select(*(F.col(f"`{c}`") for c in keep), base_spans(whole).alias("__base"), candidates(whole).alias("__wide")), "pii")
-    classifier, _ = learn(found, "__wide")
-    free = lambda c: ~F.exists("__base", lambda b: (b["kind"] == c["kind"]) & (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    added = F.transform(F.filter("__wide", lambda c: classifier.accepts(c) & free(c)), lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
-    return found.select(*(F.col(f"`{c}`") for c in keep), F.col("__base").alias(base), F.array_sort(F.concat("__base", added)).alias(spans))
+    whole, sure, wide = F.coalesce(F.col(f"`{text}`"), F.lit("")), unused(docs, "sure_spans"), unused(docs, "wide_spans")
+    found = materialize(docs.select(*(F.col(f"`{c}`") for c in keep), base_spans(whole).alias(sure), candidates(whole).alias(wide)), "pii")
+    classifier, _ = learn(found, wide)
+    free = lambda c: ~F.exists(sure, lambda b: (b["kind"] == c["kind"]) & (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    added = F.transform(F.filter(wide, lambda c: classifier.accepts(c) & free(c)), lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
+    return found.select(*(F.col(f"`{c}`") for c in keep), F.col(sure).alias(base), F.array_sort(F.concat(sure, added)).alias(spans))
 
 
 def listed(spans: Column) -> Column:
@@ -336,16 +336,18 @@ def redact(text: Column, spans: Column) -> Column:
 
 def digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
-    found = detect(docs, text, (key,), "__b", "__s")
+    sure, all_ = (unused(docs, n) for n in ("base", "spans"))
+    found = detect(docs, text, (key,), sure, all_)
 
     def count(k: int) -> Column:
-        return F.size(F.filter("__b", lambda x: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+        return F.size(F.filter(sure, lambda x: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
 
     counts = [count(k) for k in range(4)]
-    return found.select(F.col(f"`{key}`"), *counts, F.sha2(listed(F.col("__b")), 256).alias("base_sha256"), listed(F.col("__s")).alias("spans"))
+    return found.select(F.col(f"`{key}`"), *counts, F.sha2(listed(F.col(sure)), 256).alias("base_sha256"), listed(F.col(all_)).alias("spans"))
 
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents with all personal data in their texts replaced by the kind in angle brackets; all columns stay."""
-    found = detect(docs, text, docs.columns, "__b", "__s")
-    return found.select(*(F.when(F.size("__s") > 0, redact(F.col(f"`{c}`"), F.col("__s"))).otherwise(F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns))
+    sure, all_ = (unused(docs, n) for n in ("base", "spans"))
+    found = detect(docs, text, docs.columns, sure, all_)
+    return found.select(*(F.when(F.size(all_) > 0, redact(F.col(f"`{c}`"), F.col(all_))).otherwise(F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns))

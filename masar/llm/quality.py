@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from masar.llm.shared import materialize
+from masar.llm.shared import materialize, unused
 from masar.llm.textkit import U, chunks, per_text, spans, windows, word_hashes
 
 MAX_LABELLED = 12_000
+#: A sample of labelled keys of this size or less is broadcast.
+BROADCAST_ROWS = 100_000
 TREES, DEPTH, BINS, RATE = 30, 3, 32, 0.3
 PENALTIES = (0.01, 0.002, 0.0005)
 
@@ -252,21 +254,24 @@ def held_out(key: Column, modulus: int = 3, remainder: int = 1) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
-def learn(stats: DataFrame, labels: DataFrame, key: str, label: str, most: int = MAX_LABELLED) -> Rules:
-    """Fits the rules on ``most`` labelled rows at most, those with the least hash of their key."""
+def learn(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, most: int = MAX_LABELLED) -> Rules:
+    """Fits the rules on ``most`` labelled rows at most, those with the least hash of their key; of repeated keys one row counts.
+
+    Only the texts of these rows are read into statistics, so learning costs no pass of its own over the others.
+    """
     marks = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg((F.avg(label) >= 0.5).cast("double").alias("y"))
-    marks = materialize(marks.filter(~held_out(F.col("k"))).withColumn("h", F.xxhash64("k")), "quality-labels")
-    share = min(1.0, most / max(marks.count(), 1))
-    sample = marks.filter(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))  # ``most`` rows, or some more by chance
-    got = stats.join(sample, F.col("key") == F.col("k")).select("h", *STATS, "y").toPandas().sort_values(["h", *STATS], kind="stable").to_numpy(float)[: int(most), 1:]
+    sample = materialize(marks.filter(~held_out(F.col("k"))).withColumn("h", F.xxhash64("k")).orderBy("h", "k").limit(int(most)), "quality-labels")
+    small = F.broadcast(sample) if most <= BROADCAST_ROWS else sample
+    texts = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).join(small.select("k"), F.col("key") == F.col("k")).select("key", "text")
+    stats = with_statistics(texts, "key", "text").groupBy("key").agg(F.min(F.struct(*STATS)).alias("s")).select("key", "s.*")
+    got = stats.join(sample, F.col("key") == F.col("k")).select("h", *STATS, "y").toPandas().sort_values(["h", *STATS], kind="stable").to_numpy(float)[:, 1:]  # ``most`` rows at most
     return fit(got[:, :-1], got[:, -1])
 
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = MAX_LABELLED) -> DataFrame:
     """(key, held_out, score, predicted, the STATS): one row per document."""
-    stats = materialize(with_statistics(docs, key, text), "quality")
-    rules = learn(stats, labels, key, label, most)
-    scored = stats.withColumn("score", rules.column())
+    rules = learn(docs, labels, key, text, label, most)
+    scored = with_statistics(docs, key, text).withColumn("score", rules.column())
     return scored.select(F.col("key").alias(key), held_out(F.col("key")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *STATS)
 
 
@@ -276,17 +281,16 @@ def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     Rules are learnt as in ``classify``; then rows are judged where they are, so no text is shuffled and repeated or null keys
     are no matter.
     """
-    stats = materialize(with_statistics(docs, key, text), "quality")
-    rules = learn(stats, labels, key, label, most)
-    at = docs.columns.index(text)
+    rules = learn(docs, labels, key, text, label, most)
+    at, own = docs.columns.index(text), unused(docs, "stats")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, raw, offs in chunks(batch.column(at)):
                 rows = statistics(raw, offs)
                 packed = pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)), pa.array(rows.ravel()))
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), packed], names=[*batch.schema.names, "__stats"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), packed], names=[*batch.schema.names, own])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    judged = docs.mapInArrow(run, f"{kinds}, __stats array<double>")
-    return judged.filter(rules.column(lambda k: F.get("__stats", F.lit(k))) >= 0.5).select(*(F.col(f"`{c}`") for c in docs.columns))
+    judged = docs.mapInArrow(run, f"{kinds}, {own} array<double>")
+    return judged.filter(rules.column(lambda k: F.get(own, F.lit(k))) >= 0.5).select(*(F.col(f"`{c}`") for c in docs.columns))

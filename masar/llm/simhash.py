@@ -29,7 +29,7 @@ from pyspark.sql.types import IntegralType
 
 from masar.llm.arrays import members, write_sorted
 from masar.llm.components import connected_components
-from masar.llm.shared import materialize
+from masar.llm.shared import materialize, unused
 from masar.llm.textkit import LOWER_BYTES, column_bytes
 
 BITS = 64
@@ -236,15 +236,16 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
 
 def first_of_each(docs: DataFrame, prints: DataFrame, ids: DataFrame, values: Callable[[pa.Array], np.ndarray], key: str, text: str) -> DataFrame:
     """The documents that stay, by (key, fp) and (fp, component, component_id); ``values`` computes fp of a column of texts."""
-    firsts = materialize(ids.filter("component_id is not null").select(F.col("component_id").alias("__id")).distinct(), "simhash-firsts")
-    again = materialize(prints.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1 and key is not null").select(F.col("key").alias("__id")), "simhash-again")
+    least, fp, group = (unused(docs, n) for n in ("least_id", "fp", "group"))
+    firsts = materialize(ids.filter("component_id is not null").select(F.col("component_id").alias(least)).distinct(), "simhash-firsts")
+    again = materialize(prints.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1 and key is not null").select(F.col("key").alias(least)), "simhash-again")
     if isinstance(docs.schema[key].dataType, IntegralType):  # no text is shuffled: the ids kept are arrays that workers map
-        as_long = lambda t: write_sorted(t.select(F.col("__id").cast("long").alias("id")), "simhash-ids")
+        as_long = lambda t: write_sorted(t.select(F.col(least).cast("long").alias("id")), "simhash-ids")
         kept, repeated = members(docs, key, as_long(firsts)), as_long(again)
         if repeated.rows:
             kept = members(kept, key, repeated, inside=False).union(members(kept, key, repeated).dropDuplicates([key]))
     else:
-        kept = docs.join(firsts, F.col(key) == F.col("__id"), "left_semi")
+        kept = docs.join(firsts, F.col(f"`{key}`") == F.col(least), "left_semi")
         if not again.isEmpty():
             kept = kept.dropDuplicates([key])
     if prints.filter("key is null").isEmpty():
@@ -253,9 +254,10 @@ def first_of_each(docs: DataFrame, prints: DataFrame, ids: DataFrame, values: Ca
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values(batch.column(at)))], names=[*batch.schema.names, "__fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values(batch.column(at)))], names=[*batch.schema.names, fp])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    unnamed = docs.filter(F.col(key).isNull()).mapInArrow(run, f"{kinds}, __fp long")
-    alone = unnamed.join(ids.filter("component_id is null").select(F.col("fp").alias("__f"), F.col("component").alias("__c")), F.col("__fp") == F.col("__f")).dropDuplicates(["__c"])
+    unnamed = docs.filter(F.col(key).isNull()).mapInArrow(run, f"{kinds}, {fp} long")
+    other = unused(docs, "other_fp")
+    alone = unnamed.join(ids.filter("component_id is null").select(F.col("fp").alias(other), F.col("component").alias(group)), F.col(fp) == F.col(other)).dropDuplicates([group])
     return kept.union(alone.select(*(F.col(f"`{c}`") for c in docs.columns)))

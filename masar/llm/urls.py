@@ -2,8 +2,9 @@
 
 ``judge`` parts each url into host and path.  The longest rule that fits decides; where none fits, an Aho-Corasick
 automaton over the lower-cased url counts vocabulary terms.  A *strict* term counts only with a boundary (an end of the
-url or a character other than a-z and 0-9) on both sides, and one such hit rejects.  A *soft* term needs a boundary on one side
-at least, and terms whose distinct weights add up to ``limit`` or more reject.
+url or a character other than a-z and 0-9) on both sides, and one such hit rejects.  A *soft* term of ``SHORT`` letters or more needs a
+boundary on one side at least, a shorter one on both; distinct soft terms whose weights add up to ``limit`` or more reject.  Every soft weight is less than
+the limit, so it takes several; a term hit again counts once, and a term that lies within another term's hit counts only by its own boundaries.
 
 Defined results: a null url or one without ``://`` has an empty host and path, no rule, and is judged by its terms alone
 (null: allowed); repeated rows are judged alike; an empty table gives an empty table; extra columns are ignored.
@@ -18,11 +19,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The rules of the contract, and a vocabulary of our own.
+# The rules of the contract, and a vocabulary of our own: categories that public blocklists reject (adult, gambling, pills, piracy, malware, link farms, advertising).
 RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
-STRICT = ("porn", "xxx", "hentai", "camgirls", "escorts", "warez", "keygen", "torrents", "phishing", "malware")
-SOFT = {"casino": 1, "poker": 1, "betting": 1, "viagra": 2, "cialis": 2, "adult": 1, "dating": 1, "nude": 1, "sex": 1, "crack": 1, "pills": 1, "loan": 1, "replica": 1, "lottery": 1, "spam": 1, "bonus": 1}
+STRICT = (
+    "adult", "xxx", "porn", "porno", "pornos", "hentai", "milf", "bdsm", "camgirl", "camgirls", "sexcam", "sexcams", "escort", "escorts", "erotica", "fetish", "hardcore", "onlyfans",
+    "warez", "keygen", "keygens", "torrent", "torrents", "nulled", "crackz", "serialz", "phishing", "malware", "ransomware", "botnet", "spyware", "spamfarm", "linkfarm", "doorway",
+)
+SOFT = {
+    "ads": 1, "adserver": 1.5, "affiliate": 1, "banner": 1, "bets": 1, "betting": 1.5, "bingo": 1, "bitcoin": 1, "blackjack": 1.5, "bonus": 1, "buy": 1, "cash": 1, "casino": 1.5, "cheap": 1, "cialis": 1.5, "clicks": 1, "coupon": 1, "crack": 1,
+    "credit": 1, "crypto": 1, "dating": 1, "deals": 1, "diet": 1, "discount": 1, "download": 1, "drugs": 1, "farm": 1, "forex": 1, "free": 1, "gambling": 1.5, "girls": 1, "hacks": 1, "hot": 1, "jackpot": 1.5, "kasino": 1.5, "keto": 1, "levitra": 1.5,
+    "loan": 1, "loans": 1, "lottery": 1.5, "lotto": 1, "meds": 1, "money": 1, "naked": 1.5, "nude": 1.5, "online": 1, "payday": 1, "pharmacy": 1, "pills": 1.5, "poker": 1.5, "popup": 1, "promo": 1, "replica": 1, "roulette": 1.5, "sale": 1, "serial": 1,
+    "sex": 1.5, "sexy": 1.5, "shemale": 1.5, "singles": 1, "slot": 1, "slots": 1.5, "spam": 1.5, "sportsbook": 1.5, "steroids": 1.5, "streams": 1, "swinger": 1.5, "track": 1, "tracker": 1, "traffic": 1, "tramadol": 1.5, "viagra": 1.5, "vip": 1, "watches": 1,
+    "webcam": 1, "weightloss": 1.5, "wett": 1, "win": 1, "xanax": 1.5,
+}
 LIMIT = 2
+#: Soft terms of fewer letters need a boundary on both sides, as they stand inside too many other words.
+SHORT = 6
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -52,12 +64,12 @@ def term_hits(url: str, automaton: ahocorasick.Automaton) -> tuple[set[str], set
         before, after = _edge(url, end - len(term)), _edge(url, end + 1)
         if weight is None and before and after:
             strict.add(term)
-        elif weight is not None and (before or after):
+        elif weight is not None and (before and after if len(term) < SHORT else before or after):
             soft.add(term)
     return strict, soft
 
 
-def automaton_of(strict: tuple[str, ...], soft: dict[str, int]) -> ahocorasick.Automaton:
+def automaton_of(strict: tuple[str, ...], soft: dict[str, float]) -> ahocorasick.Automaton:
     out = ahocorasick.Automaton()
     for term in strict:
         out.add_word(term, (term, None))
@@ -70,15 +82,19 @@ def automaton_of(strict: tuple[str, ...], soft: dict[str, int]) -> ahocorasick.A
 _LOWER = {i: i + 32 for i in range(65, 91)}
 
 
-def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules: dict[str, str] = RULES, strict: tuple[str, ...] = STRICT, soft: dict[str, int] = SOFT, limit: int = LIMIT) -> DataFrame:
+def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules: dict[str, str] = RULES, strict: tuple[str, ...] = STRICT, soft: dict[str, float] = SOFT, limit: float = LIMIT) -> DataFrame:
     """key, host, path, rule, verdict, strict_hits (array), soft_hits (array), soft_weight."""
+    if twice := set(strict) & set(soft):
+        raise ValueError(f"strict and soft at once: {sorted(twice)}")
+    if heavy := [t for t, w in soft.items() if not 0 < w < limit]:
+        raise ValueError(f"one soft term alone must not reject: {heavy}")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = automaton_of(strict, soft)
         for batch in batches:
             found = [term_hits((u or "").translate(_LOWER), automaton) for u in batch.column("url").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("key", "host", "path", "rule")), pa.array([sorted(s) for s, _ in found], pa.list_(pa.string())), pa.array([sorted(s) for _, s in found], pa.list_(pa.string())), pa.array([sum(soft[t] for t in s) for _, s in found], pa.int64())],
+                [*(batch.column(c) for c in ("key", "host", "path", "rule")), pa.array([sorted(s) for s, _ in found], pa.list_(pa.string())), pa.array([sorted(s) for _, s in found], pa.list_(pa.string())), pa.array([sum(soft[t] for t in s) for _, s in found], pa.float64())],
                 names=["key", "host", "path", "rule", "strict_hits", "soft_hits", "soft_weight"],
             )
 
@@ -86,7 +102,7 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules: dict[
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url")).withColumns({"host": host, "path": path})
     rows = rows.withColumn("rule", fitting_rule(F.col("host"), F.col("path"), rules))
     kind = pages.schema[key].dataType.simpleString()
-    hits = rows.mapInArrow(count, f"key {kind}, host string, path string, rule string, strict_hits array<string>, soft_hits array<string>, soft_weight long")
+    hits = rows.mapInArrow(count, f"key {kind}, host string, path string, rule string, strict_hits array<string>, soft_hits array<string>, soft_weight double")
     by_rule = F.lit(None).cast("string")
     for rule, verdict in rules.items():
         by_rule = F.when(F.col("rule") == rule, verdict).otherwise(by_rule)
@@ -102,7 +118,8 @@ def oracle() -> str:
         name, _, start = rule.partition("/")
         fits.append(f"WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '/{start}') THEN '{rule}'")
     hard = " OR ".join(f"regexp_matches(u, '(^|{edge}){t}({edge}|$)')" for t in STRICT)
-    weight = " + ".join(f"CASE WHEN regexp_matches(u, '(^|{edge}){t}|{t}({edge}|$)') THEN {w} ELSE 0 END" for t, w in SOFT.items())
+    either, both = (lambda t: f"(^|{edge}){t}|{t}({edge}|$)"), (lambda t: f"(^|{edge}){t}({edge}|$)")
+    weight = " + ".join(f"CASE WHEN regexp_matches(u, '{(both if len(t) < SHORT else either)(t)}') THEN {w} ELSE 0 END" for t, w in SOFT.items())
     verdict = " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in RULES.items())
     return f"""
 WITH cut AS (

@@ -51,18 +51,21 @@ def cut(ws, least=p.LEAST, reach=p.REACH, piece=p.PIECE):
 
 
 def slow(rows):
-    """{(id, paragraph, start, end): (origin id, origin paragraph)} of repeated paragraphs, by comparing all pairs."""
+    """{(id, kind, paragraph, start, end): (origin id, origin paragraph)} of repeated paragraphs, by comparing all pairs."""
     at = []
     for i, t, *_ in rows:
-        found = word_spans(t or "")
+        found, i = word_spans(t or ""), -1 if i is None else i
         ws = [w for _, _, w in found]
         for n, (a, b) in enumerate(cut(ws)):
-            at.append(((-1 if i is None else i, n, found[a][0], found[b - 1][1]), tuple(ws[a:b])))
-    texts = sorted({w for _, w in at})
-    sets = [{w[k : k + 5] for k in range(max(len(w) - 4, 1))} for w in texts]
+            at.append(((i, "piece", n, found[a][0], found[b - 1][1]), tuple(ws[a:b])))
+        for n, line in enumerate(re.finditer(r"[^\r\n]+", t or "")):
+            if len(words(line[0])) >= p.LEAST:
+                at.append(((i, "line", n, *line.span()), tuple(words(line[0]))))
+    texts = sorted({(kind, w) for (_, kind, *_), w in at})
+    sets = [{w[k : k + 5] for k in range(max(len(w) - 4, 1))} for _, w in texts]
     holders = defaultdict(list)
     for k, s in enumerate(sets):
-        for x in s:
+        for x in s if texts[k][0] == "line" else ():
             holders[x].append(k)
     root = list(range(len(texts)))
 
@@ -72,15 +75,15 @@ def slow(rows):
         return x
 
     for a, s in enumerate(sets):
-        shared = Counter(b for x in s for b in holders[x] if b < a)
+        shared = Counter(b for x in s for b in holders[x] if b < a) if texts[a][0] == "line" else {}
         for b, x in shared.items():
             if x >= 0.8 * (len(s) + len(sets[b]) - x):
                 root[find(a)] = find(b)
     groups = defaultdict(list)
     where = {w: k for k, w in enumerate(texts)}
     for place, w in at:
-        groups[find(where[w])].append(place)
-    return {x: min(g)[:2] for g in groups.values() if len(g) > 1 for x in g}
+        groups[find(where[place[1], w])].append(place)
+    return {x: (min(g)[0], min(g)[2]) for g in groups.values() if len(g) > 1 for x in g}
 
 
 def data(seed=1):
@@ -115,7 +118,7 @@ def test_equal_to_all_pairs(spark):
     want = slow(rows)
     for parts in (1, 3):
         got = p.duplicates(spark.createDataFrame(rows, SCHEMA).repartition(parts)).collect()
-        have = {(-1 if r["doc_id"] is None else r["doc_id"], r["paragraph"], r["char_start"], r["char_end"]): (-1 if r["component_id"] is None else r["component_id"], r["component_paragraph"]) for r in got}
+        have = {(-1 if r["doc_id"] is None else r["doc_id"], r["kind"], r["paragraph"], r["char_start"], r["char_end"]): (-1 if r["component_id"] is None else r["component_id"], r["component_paragraph"]) for r in got}
         assert have == want
         assert all(r["keep"] == (r["doc_id"] == r["component_id"] and r["paragraph"] == r["component_paragraph"]) for r in got)
 
@@ -178,7 +181,7 @@ def test_passages_inside_and_across_lines(spark):
 def test_clashing_columns(spark):
     rows = [r for r in data(4) if r[0] is not None and r[0] != 3][:80]
     docs = spark.createDataFrame(rows, SCHEMA)
-    for extra in ("cut_key", "cuts", "key", "node", "component", "keep", "k", "Char_Start"):
+    for extra in ("cut_key", "cuts", "key", "kind", "node", "component", "keep", "k", "Char_Start"):
         docs = docs.withColumn(extra, docs.doc_id % 7)
     found = p.duplicates(docs)
     plain = p.duplicates(spark.createDataFrame(rows, SCHEMA))
