@@ -1,4 +1,6 @@
 import random
+
+import pytest
 from itertools import combinations
 
 import numpy as np
@@ -116,7 +118,10 @@ def test_estimates_follow_correlation():
         assert abs(est[t] - (near <= t).mean()) < 0.02
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("at_once", [True, False])
+def test_components_of_paths_and_stars(spark, monkeypatch, at_once):
+    if not at_once:
+        monkeypatch.setattr("masar.llm.components.SLICE", 40)  # rounds
     edges = [(k, k + 1) for k in range(50)] + [(1000, k) for k in range(1001, 1200)] + [(5, 5), (7, 6)] + [(-3, 2000)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(51)} | {k: 1000 for k in range(1000, 1200)} | {-3: -3, 2000: -3}
