@@ -6,10 +6,12 @@ tolerated.  Fixed masks pick some places of a stretch of tokens and ignore the o
 chosen such that every tolerated pattern of substitutions leaves some mask a place where all that it picks agrees, so no
 qualifying window is missed.  The items' seed hashes are sorted arrays that workers map; the hashes of the documents' tokens meet
 them there, and each hit is verified on the tokens around it.  Documents are never shuffled and the benchmark is never
-broadcast.  Seeds with equal surroundings are kept once, so a passage of very many items costs what one costs.
+broadcast.  Seeds with equal surroundings are kept once, so a passage of very many items costs what one costs; the items that have them are
+a *class*, with an id by its set of items.  Documents are reported by class, and the class's items are listed once, with the first of its documents: all
+documents of a class overlap all its items, so no pair is lost and none is multiplied out.
 
-Defined results: null and empty texts are clean; items of fewer than ``LEAST`` tokens are no evidence and are ignored; items with equal texts,
-or equal around a hit, are represented by one of them; a row with a null id is judged and returned with the null; repeated
+Defined results: null and empty texts are clean; items of fewer than ``LEAST`` tokens are no evidence and are ignored; items with equal texts
+are in all the same classes; a row with a null id is judged and returned with the null; repeated
 documents are judged alike; empty tables give an empty table; extra columns are ignored.
 """
 
@@ -66,7 +68,7 @@ def _tokens(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 @dataclass(frozen=True)
 class Index:
-    """The benchmark's seeds, tokens and a bitmap of seed hashes, in the shared folder."""
+    """The benchmark's seeds, tokens and a bitmap of seed hashes, in the shared folder; a seed's last column is its class."""
 
     seeds: Sorted
     folder: str
@@ -75,11 +77,11 @@ class Index:
 
 
 def build_index(benchmark: DataFrame, key: str, text: str) -> tuple[Index, DataFrame]:
-    """The index, and (item, key): which key an item number stands for."""
+    """The index, and (class, item_key): the items of each class."""
     spark = benchmark.sparkSession
     folder = array_folder(spark, "benchmark")
-    distinct = materialize(benchmark.filter(F.col(text).isNotNull()).groupBy(F.col(text).alias("text")).agg(F.min(key).alias("key")), "benchmark")
-    kind = distinct.schema["key"].dataType.simpleString()
+    known = benchmark.filter(F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(key).alias("key"), F.xxhash64(text).alias("tid"))
+    distinct = materialize(known.groupBy("text").agg(F.first("tid").alias("tid")), "benchmark")
     parts = max(1, -(-distinct.count() // ITEM_ROWS))
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,35 +110,48 @@ def build_index(benchmark: DataFrame, key: str, text: str) -> tuple[Index, DataF
                         at = (part << 40) + base + lo + pos
                         out.append((signed(h), signed(around), at, np.minimum(pos, WINDOW - 1), np.minimum(len(own) - pos, WINDOW), np.full(n, (part << 40) + base + lo), np.full(n, family)))
                     if family:
-                        key_at = batch.column(1).slice(a + i, 1)
-                        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 5 + [pa.array([(part << 40) + base + lo]), pa.array([family], pa.int64()), key_at], names=["seed", "around", "at", "left", "right", "item", "family", "key"])
+                        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 5 + [pa.array([(part << 40) + base + lo]), pa.array([family], pa.int64()), batch.column(1).slice(a + i, 1)], names=["seed", "around", "at", "left", "right", "item", "family", "tid"])
                 if out:
                     cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.nulls(len(cols[0]), batch.schema.field(1).type)], names=["seed", "around", "at", "left", "right", "item", "family", "key"])
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.nulls(len(cols[0]), pa.int64())], names=["seed", "around", "at", "left", "right", "item", "family", "tid"])
                 base += len(tokens)
         if base:
             write_atomically(path, b"".join(held))
 
-    rows = distinct.repartitionByRange(parts, "text").select("text", "key").mapInArrow(save, f"seed long, around long, at long, left long, right long, item long, family long, key {kind}")
+    rows = distinct.repartitionByRange(parts, "text").select("text", "tid").mapInArrow(save, "seed long, around long, at long, left long, right long, item long, family long, tid long")
     rows = materialize(rows, "benchmark-seeds")
-    items = rows.filter("seed is null").select("item", "key")
-    best = F.min(F.struct("at", "left", "right", "item"))
-    kept = materialize(rows.filter("seed is not null").groupBy("seed", "around").agg(best.alias("b")).select("seed", "b.at", "b.left", "b.right", "b.item"), "benchmark-kept")
-    seeds = write_sorted(kept, "benchmark-seeds")
+    items = rows.filter("seed is null").select("item", "tid")
+    each = materialize(rows.filter("seed is not null").groupBy("seed", "around", "item").agg(F.min(F.struct("at", "left", "right")).alias("b")), "benchmark-each")
+    mark = F.xxhash64(F.expr("bit_xor(xxhash64(item))"), F.expr("bit_xor(xxhash64(item, 1))"), F.count("*"))  # of the set of items, in any order
+    kept = materialize(each.groupBy("seed", "around").agg(F.min("b").alias("b"), mark.alias("class")).select("seed", "around", "b.at", "b.left", "b.right", "class"), "benchmark-kept")
+    seeds = write_sorted(kept.select("seed", "at", "left", "right", "class"), "benchmark-seeds")
+    one = kept.groupBy("class").agg(F.min(F.struct("seed", "around")).alias("o")).select("class", F.col("o.seed").alias("s"), F.col("o.around").alias("r"))
+    inside = each.join(one, (F.col("seed") == F.col("s")) & (F.col("around") == F.col("r"))).select("class", F.col("item").alias("i"))
+    classes = inside.join(items, F.col("i") == F.col("item")).select("class", F.col("tid").alias("t")).join(known.select("tid", F.col("key").alias("item_key")).distinct(), F.col("t") == F.col("tid")).select("class", "item_key")
     families = tuple(sorted(r["family"] for r in rows.filter("seed is null").select("family").distinct().collect()))  # three at most
     bits = max(16, int(np.ceil(np.log2(max(seeds.rows, 1)))) + 4)
-    _write_bitmap(seeds, folder, bits)
-    return Index(seeds, folder, families, bits), items
+    _write_bitmap(kept.select("seed"), folder, bits)
+    return Index(seeds, folder, families, bits), classes
 
 
-def _write_bitmap(seeds: Sorted, folder: str, bits: int) -> None:
-    """Two bits for each byte of a seed, set in a mapped file, part by part."""
-    path = f"{folder}/bitmap"
-    marks = np.memmap(path, np.uint8, "w+", shape=(1 << bits - 3,))
-    for part in seeds.parts:
-        h = np.memmap(f"{seeds.folder}/{part[0]}-seed", np.int64, "r").view(U) >> U(64 - bits)
-        np.bitwise_or.at(marks, (h >> U(3)).astype(np.int64), (U(1) << (h & U(7))).astype(np.uint8))
-    marks.flush()
+def _write_bitmap(seeds: DataFrame, folder: str, bits: int) -> None:
+    """Two bits for each byte of a seed; tasks write slices of the file, of whole pages where there are several."""
+    path, cut = f"{folder}/bitmap", max(0, min(10, bits - 15))
+    with open(path, "wb") as f:
+        f.truncate(1 << bits - 3)
+
+    def save(table: pa.Table) -> pa.Table:
+        marks = np.zeros(1 << bits - 3 - cut, np.uint8)
+        h = np.unique(np.concatenate([c.to_numpy(zero_copy_only=False) for c in table["seed"].chunks])).view(U) >> U(64 - bits)
+        own = h & U((1 << bits - cut) - 1)
+        np.bitwise_or.at(marks, (own >> U(3)).astype(np.int64), (U(1) << (own & U(7))).astype(np.uint8))
+        with open(path, "r+b") as f:
+            f.seek(int(h[0] >> U(bits - cut)) << bits - 3 - cut)
+            f.write(marks.tobytes())
+        return pa.table({"n": pa.array([len(h)], pa.int64())})
+
+    part = F.shiftrightunsigned("seed", 64 - cut) if cut else F.lit(0).cast("long")
+    seeds.groupBy(part.alias("part")).applyInArrow(save, "n long").agg(F.sum("n")).collect()
 
 
 class _Probe:
@@ -155,7 +170,7 @@ class _Probe:
         return self.parts[part]
 
     def candidates(self, tokens: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-        """(token of the chunk, [at, left, right, item]) of the seeds that a chunk shares with the benchmark."""
+        """(token of the chunk, [at, left, right, class]) of the seeds that a chunk shares with the benchmark."""
         shift = U(64 - self.index.bitmap_bits)
         ends = bounds[1:]
         for family in self.index.families:
@@ -186,7 +201,7 @@ class _Probe:
                     at = to
 
     def hits(self, tokens: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
-        """Rows of (text, item, first token, end token, agreeing tokens) of qualifying windows, distinct within a piece."""
+        """Rows of (text, class, first token, end token, agreeing tokens) of qualifying windows, distinct within a piece."""
         reach = np.arange(-(WINDOW - 1), WINDOW)
         for places, (at, left, right, item) in self.candidates(tokens, bounds):
             for lo in range(0, len(places), _PIECE):
@@ -222,16 +237,17 @@ def _distinct_rows(rows: np.ndarray) -> np.ndarray:
     return rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])]
 
 
-HIT_SCHEMA = "item long, char_start long, char_end long, tokens long, windows long, best long, best_of long"
+HIT_SCHEMA = "class long, char_start long, char_end long, tokens long, windows long, best long, best_of long"
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """A row for each document and item (or representative) that it overlaps.
+    """A row for each document and class of items that it overlaps, and for each further item of a class one with its first document.
 
-    key, item_key, char_start and char_end (code points around all qualifying windows), tokens (distinct document tokens in them),
-    windows, best and best_of (agreeing tokens of the best window and its size).
+    key, item_key (the class's smallest, or the further item), item_class, n_items (of the class), char_start and char_end (code points
+    around all qualifying windows), tokens (distinct document tokens in them), windows, best and best_of (agreeing tokens of the best window and its size).
+    All items that stand with a class are overlapped by all documents that do.
     """
-    index, items = build_index(benchmark, item_key, item_text)
+    index, classes = build_index(benchmark, item_key, item_text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probe = _Probe(index) if index.families else None
@@ -256,12 +272,19 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", t
                     best = own[np.lexsort((own[:, 2], -(own[:, 4] / (own[:, 3] - own[:, 2]))))[0]]
                     rows.append((a + i, int(own[0, 1]), int(lead[: first - offs[i]].sum()), int(lead.sum()), covered, len(own), int(best[4]), int(best[3] - best[2])))
                 cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0])), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["key", "item", "char_start", "char_end", "tokens", "windows", "best", "best_of"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0])), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["key", "class", "char_start", "char_end", "tokens", "windows", "best", "best_of"])
 
     kind = docs.schema[key].dataType.simpleString()
     found = materialize(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, {HIT_SCHEMA}"), "contaminations")
-    named = found.join(items.select(F.col("item").alias("i"), F.col("key").alias("item_key")), F.col("item") == F.col("i"))
-    return named.select(F.col("key").alias(key), F.col("item_key").alias(item_key), "char_start", "char_end", "tokens", "windows", "best", "best_of")
+    met = found.select(F.col("class").alias("c")).distinct()
+    items = materialize(classes.join(met, F.col("class") == F.col("c")).select("class", "item_key"), "contaminating-items")
+    spans_of = ["char_start", "char_end", "tokens", "windows", "best", "best_of"]
+    heads = items.groupBy(F.col("class").alias("c")).agg(F.min("item_key").alias("head"), F.count("*").alias("n_items"))
+    firsts = found.groupBy("class").agg(F.min(F.struct("key", *spans_of)).alias("f"))
+    ends = materialize(firsts.join(heads, F.col("class") == F.col("c")).select("c", "head", "n_items", "f"), "contamination-classes")
+    rows = found.join(ends.select("c", "head", "n_items"), F.col("class") == F.col("c")).select("key", F.col("head").alias("item_key"), "class", "n_items", *spans_of)
+    more = items.join(ends, (F.col("class") == F.col("c")) & ~F.col("item_key").eqNullSafe(F.col("head"))).select("f.key", "item_key", "class", "n_items", *(f"f.{x}" for x in spans_of))
+    return rows.union(more).select(F.col("key").alias(key), F.col("item_key").alias(item_key), F.col("class").alias("item_class"), "n_items", *spans_of)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
