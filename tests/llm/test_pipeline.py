@@ -1,10 +1,12 @@
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as c
 from masar.llm import packing, pii, quality
 from tests.llm.test_decontaminate import slow_pairs
+from tests.llm.test_near_copies import slow as near_groups
 from tests.llm.test_pii import base
-from tests.llm.test_simhash import slow_components, slow_fingerprint
 
 
 def test_each_stage_on_what_the_last_kept(spark, sf_dir):
@@ -26,15 +28,13 @@ def test_each_stage_on_what_the_last_kept(spark, sf_dir):
     assert 0 < len(have) < len(rows)
 
     now = spark.createDataFrame(have, docs.schema)
-    fps = [slow_fingerprint(r[at]) for r in have]
-    groups = Counter()
-    for r, g, f in zip(have, slow_components([(r[0],) for r in have], fps), fps, strict=True):
-        groups[g if g is not None else ("no id", f)] += 1
+    stay = {}
+    for r, g in zip(have, near_groups([(r[0], r[at], "") for r in have]), strict=True):
+        stay[g] = min((x for x in (stay.get(g), r[0]) if x is not None), default=None)
     out = c.drop_near_duplicates(spark, now, sf_dir)
     assert out.columns == columns
     have = [tuple(r) for r in out.collect()]
-    assert sorted(r[0] for r in have if r[0] is not None) == sorted(g for g in groups if not isinstance(g, tuple))
-    assert sum(r[0] is None for r in have) == sum(isinstance(g, tuple) for g in groups)
+    assert sorted(str(r[0]) for r in have) == sorted(map(str, stay.values()))
 
     now = spark.createDataFrame(have, docs.schema)
     items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
@@ -62,6 +62,23 @@ def test_each_stage_on_what_the_last_kept(spark, sf_dir):
     assert max(r["length"] for r in packed) <= packing.LONGEST
 
 
+def test_clashing_columns_and_empty_tables(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    plain = docs
+    for name in ("__base", "__wide", "__b", "__s", "__stats", "__fp", "stats", "sure_spans", "wide_spans", "base", "spans", "least_id", "fp", "Group", "key", "k", "node", "component", "component_id", "other_fp", "class", "label"):
+        docs = docs.withColumn(name, F.lit(name))
+    docs = docs.union(docs.limit(3).withColumn("doc_id", F.lit(None).cast("long")))
+    plain = plain.union(plain.limit(3).withColumn("doc_id", F.lit(None).cast("long")))
+    for _, stage in c.STAGES[:-1]:
+        out, same = stage(spark, docs, sf_dir), stage(spark, plain, sf_dir)
+        assert out.columns == docs.columns
+        assert sorted(map(str, out.select(*plain.columns).collect())) == sorted(map(str, same.collect()))
+        assert stage(spark, docs.limit(0), sf_dir).collect() == []
+    assert c.pack(spark, docs, sf_dir).count() == c.pack(spark, plain, sf_dir).count()
+    assert c.pack(spark, docs.limit(0), sf_dir).collect() == []
+
+
 def test_run(spark, sf_dir):
     got = c.run(spark, sf_dir)
     assert {"doc_id", "batch", "bucket"} <= set(got.columns) and got.count() > 0
