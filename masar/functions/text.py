@@ -47,9 +47,9 @@ def stem(token: Column) -> Column:
     arabic = token.rlike(f"[{ARABIC}]")
     out = F.lit(None).cast("string")
     for a in reversed(ARTICLES):
-        out = F.when(~arabic & token.startswith(a) & (F.length(token) > 4) & ~token.isin(*NOT_ARTICLES), F.substring(token, len(a) + 1, 1_000)).otherwise(out)
+        out = F.when(~arabic & token.startswith(a) & (F.length(token) > 4) & ~token.isin(*NOT_ARTICLES), F.substring(token, len(a) + 1, 1_000_000_000)).otherwise(out)
     for p in reversed(PREFIXES):
-        out = F.when(arabic & token.startswith(p) & (F.length(token) - len(p) >= MIN_STEM), F.substring(token, len(p) + 1, 1_000)).otherwise(out)
+        out = F.when(arabic & token.startswith(p) & (F.length(token) - len(p) >= MIN_STEM), F.substring(token, len(p) + 1, 1_000_000_000)).otherwise(out)
     return out
 
 
@@ -70,7 +70,7 @@ def script_of(arabic: Column, latin: Column, share: float = 0.8) -> Column:
 def loose(token: Column) -> Column:
     """Without weak letters after the first, doubled letters once."""
     base = F.coalesce(stem(token), token)
-    drop = F.when(base.rlike(f"[{ARABIC}]"), F.regexp_replace(F.substring(base, 2, 1_000), "[اويهى]", "")).otherwise(F.regexp_replace(F.substring(base, 2, 1_000), "[aeiouyhw]", ""))
+    drop = F.when(base.rlike(f"[{ARABIC}]"), F.regexp_replace(F.substring(base, 2, 1_000_000_000), "[اويهى]", "")).otherwise(F.regexp_replace(F.substring(base, 2, 1_000_000_000), "[aeiouyhw]", ""))
     return F.regexp_replace(F.concat(F.substring(base, 1, 1), drop), r"(.)\1+", "$1")
 
 

@@ -21,7 +21,7 @@ from masar.plans.traffic import READ, read
 
 @query("tx_is_arabizi", f"""
 WITH w AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '([a-z0-9'']+)', 1) AS ws FROM conversations),
-h AS (SELECT conv_id, turn, len(ws) AS n, len(list_filter(ws, lambda w: w NOT IN ('2nd', '3rd') AND regexp_matches(w, '{Z.DIGIT_SHAPES}'))) AS d, len(list_filter(ws, lambda w: w IN ({', '.join(repr(w) for w in Z.STRONG)}))) AS s, len(list_filter(ws, lambda w: w IN ({', '.join(repr(w) for w in Z.COMMON)}))) AS c FROM w)
+h AS (SELECT conv_id, turn, len(ws) AS n, len(list_filter(ws, lambda w: w NOT IN ('2nd', '3rd') AND regexp_matches(w, '{'|'.join(Z.DIGIT_SHAPES)}'))) AS d, len(list_filter(ws, lambda w: w IN ({', '.join(repr(w) for w in Z.STRONG)}))) AS s, len(list_filter(ws, lambda w: w IN ({', '.join(repr(w) for w in Z.COMMON)}))) AS c FROM w)
 SELECT conv_id, turn, d >= 1 OR s >= 1 OR c >= 2 OR (c = 1 AND n <= 2) AS arabizi FROM h""")
 def arabizi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", Z.is_arabizi(F.col("text")).alias("arabizi"))
@@ -32,24 +32,6 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", Z.asked_language(F.col("text")).alias("lang"))
 
 
-@query("tx_resolve_lang", f"""
-WITH c AS (SELECT conv_id, turn, text, length(regexp_replace(text, '[^{X.ARABIC}]', '', 'g')) AS ar, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS la FROM conversations)
-SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '{Z.ASK_ENGLISH}') THEN 'en' WHEN regexp_matches(lower(text), '{Z.ASK_ARABIC}') THEN 'ar' WHEN ar > la THEN 'ar' WHEN la > 0 THEN 'en' ELSE 'keep' END AS lang FROM c""")
-def resolve_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A request, else the script with more letters, else the conversation's language is kept."""
-    ar, la = X.script_counts(F.col("text"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(Z.asked_language(F.col("text")), F.when(ar > la, "ar").when(la > 0, "en").otherwise("keep")).alias("lang"))
-
-
-@query("tx_reply_gate", f"""
-WITH c AS (SELECT conv_id, turn, text, length(regexp_replace(text, '[^{X.ARABIC}]', '', 'g')) AS ar, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS la FROM conversations)
-SELECT conv_id, turn, ar + la = 0 OR la/(ar + la)::DOUBLE >= 0.5 OR len(string_split(text, ' ')) <= 3 AS ok FROM c""")
-def reply_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half of the letters in the language, or something as short as a name."""
-    ar, la = X.script_counts(F.col("text"))
-    ok = (ar + la == 0) | (F.coalesce(la / F.nullif(ar + la, F.lit(0)), F.lit(1.0)) >= 0.5) | (F.size(F.split("text", " ")) <= 3)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", ok.alias("ok"))
-
 
 @query("tx_number_words")
 def number_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,35 +62,6 @@ def notify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(F.col("value") > 5).alias("sent"), F.count("*").alias("tokens"))
 
 
-@query("agg_jury", """
-WITH v AS (SELECT event_id, CASE WHEN value > 100 THEN 3.0::DOUBLE ELSE 0 END + CASE WHEN value % 2 < 1 THEN 1.5::DOUBLE ELSE 0 END AS ar, CASE WHEN value < 50 THEN 2.0::DOUBLE ELSE 0 END + CASE WHEN value % 3 < 1 THEN 1.0::DOUBLE ELSE 0 END AS en, value < 20 AS short, CASE event_type WHEN 'view' THEN 'ar' WHEN 'click' THEN 'en' END AS prev FROM events),
-w AS (SELECT *, CASE WHEN ar > en THEN 'ar' ELSE 'en' END AS lead, abs(ar - en) AS gap FROM v)
-SELECT event_id, CASE WHEN gap >= CASE WHEN short AND prev IS NOT NULL THEN 1.5 ELSE 0.5 END OR (gap >= 0.5 AND lead = prev) THEN lead ELSE coalesce(prev, lead) END AS lang FROM w""")
-def jury(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.col("value")
-    ar, en = Z.vote([(v > 100, 3.0), (v % 2 < 1, 1.5)]), Z.vote([(v < 50, 2.0), (v % 3 < 1, 1.0)])
-    before = F.when(F.col("event_type") == "view", "ar").when(F.col("event_type") == "click", "en")
-    return table(spark, sf_dir, "events").select("event_id", Z.jury(ar, en, v < 20, before).alias("lang"))
-
-
-@query("tx_is_guidance", "SELECT conv_id, turn FROM conversations WHERE length(text) <= 200 AND regexp_matches(text, '^[A-Z][a-z]+ [^0-9@#<>]*[.]$') AND len(list_filter(string_split(text, ' '), lambda w: regexp_matches(w, '^[A-Z]'))) <= 14")
-def is_guidance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short lines of the grammar of directions with few capitalised words."""
-    capital = F.size(F.filter(F.split("text", " "), lambda w: w.rlike("^[A-Z]")))
-    return table(spark, sf_dir, "conversations").filter((F.char_length("text") <= 200) & F.col("text").rlike(r"^[A-Z][a-z]+ [^0-9@#<>]*[.]\z") & (capital <= 14)).select("conv_id", "turn")
-
-
-@query("tx_scrub", "SELECT p_partkey, regexp_replace(p_name || ' near the small ring road', '\\b(small ring|ring|small)\\b', 'the place', 'g') AS said FROM part")
-def scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names become a placeholder, the longest first."""
-    return table(spark, sf_dir, "part").select("p_partkey", F.regexp_replace(F.concat("p_name", F.lit(" near the small ring road")), r"\b(small ring|ring|small)\b", "the place").alias("said"))
-
-
-@query("prj_strip_keys", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
-def strip_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document of JSON read as a variant; only what may be kept is taken out."""
-    return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "string").alias("k"))
-
 
 @query("prj_context", "SELECT o_orderkey, concat_ws(chr(10), 'Status: ' || o_orderstatus, CASE WHEN o_totalprice > 100000 THEN 'Price: ' || CAST(floor(o_totalprice) AS BIGINT) END, 'Priority: ' || o_orderpriority) AS block FROM orders")
 def context(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -318,25 +271,12 @@ def tool_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", answer.alias("answer"))
 
 
-@query("cq_rule_cascade", "SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '^(yes|no)') THEN 'yes_no' WHEN contains(lower(text), 'that') THEN 'fact' WHEN contains(lower(text), 'was') THEN 'action' WHEN contains(lower(text), 'from') THEN 'thanks' ELSE 'model' END AS branch FROM conversations")
-def rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first rule that answers; only the rest go to the model."""
-    t = F.lower("text")
-    branch = F.when(t.rlike("^(yes|no)"), "yes_no").when(t.contains("that"), "fact").when(t.contains("was"), "action").when(t.contains("from"), "thanks").otherwise("model")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", branch.alias("branch"))
-
 
 @query("cq_follow_up", "SELECT event_id, CASE WHEN value < 1 THEN 'silence' WHEN value/500 < 0.55 THEN 'unsure' ELSE 'answer' END AS turn FROM events")
 def follow_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.when(F.col("value") < 1, "silence").when(F.col("value") / 500 < 0.55, "unsure").otherwise("answer").alias("turn"))
 
 
-@query("cq_inline_voice", "SELECT conv_id, turn, CAST(p AS INTEGER) AS p, length(s) AS cost FROM (SELECT conv_id, turn, unnest(l) AS s, unnest(range(len(l))) AS p FROM (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?؟…])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '') AS l FROM conversations))")
-def inline_voice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each sentence, with what it costs of the budget."""
-    s = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(X.sentences(F.col("text"))).alias("p", "s"))
-    return s.select("conv_id", "turn", "p", F.char_length("s").cast("long").alias("cost"))
-
 
 @query("cq_links", "SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 404 WHEN o_orderstatus = 'F' OR o_orderdate + INTERVAL 30 DAY < TIMESTAMP '1998-06-01' THEN 410 WHEN o_orderpriority = '5-LOW' THEN 403 ELSE 200 END AS status FROM orders")
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:

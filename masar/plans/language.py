@@ -47,18 +47,12 @@ def stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words(spark, sf_dir).select("tok").distinct().select("tok", X.stem(F.col("tok")).alias("stem"))
 
 
-@query("tx_loose", f"""
-WITH t AS (SELECT DISTINCT tok, CASE WHEN (starts_with(tok, 'el') OR starts_with(tok, 'al')) AND length(tok) > 4 AND tok NOT IN ('alex', 'alexandria') THEN substr(tok, 3) ELSE tok END AS b FROM {TOKS})
-SELECT tok, length(substr(b, 1, 1) || regexp_replace(substr(b, 2), CASE WHEN regexp_matches(b, '[{X.ARABIC}]') THEN '[اويهى]' ELSE '[aeiouyhw]' END, '', 'g')) AS kept FROM t""")
-def loose_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many letters the loose form keeps before doubled ones collapse."""
-    base = F.coalesce(X.stem(F.col("tok")), F.col("tok"))
-    rest = F.substring(base, 2, 1_000)
-    dropped = F.when(base.rlike(f"[{X.ARABIC}]"), F.regexp_replace(rest, "[اويهى]", "")).otherwise(F.regexp_replace(rest, "[aeiouyhw]", ""))
-    return words(spark, sf_dir).select("tok").distinct().select("tok", (F.char_length(F.substring(base, 1, 1)) + F.char_length(dropped)).cast("long").alias("kept"))
-
-
-@query("tx_loose_form")
+
+_BASE = "CASE WHEN (starts_with(tok, 'el') OR starts_with(tok, 'al')) AND length(tok) > 4 AND tok NOT IN ('alex', 'alexandria') THEN substr(tok, 3) ELSE tok END"
+_DOUBLED = f"substr(b, 1, 1) || regexp_replace(substr(b, 2), CASE WHEN regexp_matches(b, '[{X.ARABIC}]') THEN '[اويهى]' ELSE '[aeiouyhw]' END, '', 'g')"
+
+
+@query("tx_loose", f"SELECT tok, CASE WHEN d = '' THEN '' ELSE array_to_string(list_filter(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN i = 1 OR substr(d, i, 1) <> substr(d, i - 1, 1) THEN substr(d, i, 1) END), lambda c: c IS NOT NULL), '') END AS loose FROM (SELECT tok, {_DOUBLED} AS d FROM (SELECT DISTINCT tok, {_BASE} AS b FROM {TOKS}))")
 def loose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words(spark, sf_dir).select("tok").distinct().select("tok", X.loose(F.col("tok")).alias("loose"))
 
@@ -203,14 +197,6 @@ def anti_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 INTENTS = {"eta": r"\bthat\b", "traffic": r"\bwas\b", "stop": r"\bfrom\b", "camera": r"\bles\b", "speed": r"\bdie\b"}
 
 
-@query("tx_match_intent", f"""
-WITH r AS (SELECT conv_id, turn, len(string_split(trim(text), ' ')) AS w, {', '.join(f"regexp_matches(lower(text), '{p}') AS {n}" for n, p in INTENTS.items())} FROM conversations)
-SELECT conv_id, turn, CASE {' '.join(f"WHEN {n} THEN '{n}'" for n in INTENTS)} END AS intent FROM r WHERE w <= 40 AND {' + '.join(f'{n}::INTEGER' for n in INTENTS)} = 1""")
-def match_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short utterances that exactly one rule matches."""
-    c = table(spark, sf_dir, "conversations").filter(F.size(F.split(F.trim("text"), " ")) <= 40)
-    return c.select("conv_id", "turn", X.single_match(INTENTS, F.lower("text")).alias("intent")).filter("intent is not null")
-
 
 @query("agg_kb_topk", f"""
 WITH r AS (SELECT conv_id, turn, unnest([{', '.join(f"{{'k': {i}, 'name': '{n}', 'n': len(regexp_extract_all(lower(text), '{p}'))}}" for i, (n, p) in enumerate(INTENTS.items()))}]) AS x FROM conversations)
@@ -240,6 +226,12 @@ def intersect_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.size(F.array_intersect(F.split("p_name", " "), words_)).cast("long").alias("shared"))
 
 
+@query("src_html", "SELECT page_id, length(decode(array_slice(encode(html), 1, 600*1024))) AS n FROM pages WHERE starts_with(lower(html), '<!doctype html')")
+def html_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text pages as the source reads them: 600 KiB at most."""
+    return table(spark, sf_dir, "pages").filter(F.lower(F.substring("html", 1, 14)) == "<!doctype html").select("page_id", F.char_length(F.substring(F.encode("html", "UTF-8"), 1, 600 * 1024).cast("string")).cast("long").alias("n"))
+
+
 @query("tx_html_extract", """
 SELECT page_id, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title, coalesce(nullif(regexp_extract(url, '@(-?[0-9.]+),', 1), ''), nullif(regexp_extract(url, '[?&]page=([0-9]+)', 1), ''), nullif(regexp_extract(url, '/([0-9]+)', 1), '')) AS place FROM pages""")
 def html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,11 +239,6 @@ def html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", X.first_of(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"), place.alias("place"))
 
 
-@query("src_html", "SELECT page_id, length(substr(html, 1, 2000)) AS n FROM pages WHERE starts_with(lower(html), '<!doctype html')")
-def html_body(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text pages cut to a limit of characters, as the source reads a bounded body."""
-    return table(spark, sf_dir, "pages").filter(F.lower(F.substring("html", 1, 14)) == "<!doctype html").select("page_id", F.char_length(F.substring("html", 1, 2000)).cast("long").alias("n"))
-
 
 @query("tx_url_guard", """
 WITH u AS (SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages)
@@ -267,23 +254,6 @@ def html_continue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.replace(F.regexp_extract("html", 'href="([^"]*)"', 1), F.lit("&amp;"), F.lit("&")).alias("target"))
 
 
-@query("tx_speak_minutes", """
-WITH m AS (SELECT event_id, greatest(1, CAST(round_even(value, 0) AS INTEGER)) AS m FROM events), h AS (SELECT event_id, m, m//60 AS h, m % 60 AS r FROM m)
-SELECT event_id, CASE WHEN h = 0 THEN m || ' minute' || CASE WHEN m = 1 THEN '' ELSE 's' END ELSE h || ' hour' || CASE WHEN h = 1 THEN '' ELSE 's' END || CASE WHEN r = 0 THEN '' ELSE ' and ' || r || ' minute' || CASE WHEN r = 1 THEN '' ELSE 's' END END END AS said FROM h""")
-def speak_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", X.speak_minutes(F.col("value")).alias("said"))
-
-
-@query("tx_speak_distance")
-def speak_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", X.speak_distance(F.col("value") / 10).alias("said"))
-
-
-@query("tx_rating_relevant", "SELECT p_partkey, p_type IS NULL OR starts_with(p_type, 'ECONOMY') OR starts_with(p_type, 'PROMO') AS relevant FROM part")
-def rating_relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("p_type")
-    return table(spark, sf_dir, "part").select("p_partkey", (t.isNull() | t.startswith("ECONOMY") | t.startswith("PROMO")).alias("relevant"))
-
 
 @query("tx_strip_tokens", "SELECT p_partkey, trim(regexp_replace(regexp_replace(p_name, '\\b(small|blue|ring)\\b', '', 'g'), ' +', ' ', 'g')) AS rest FROM part")
 def strip_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,13 +265,6 @@ def tts_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring(F.trim(F.regexp_replace(F.regexp_replace("text", "[*_`#]", ""), "[ \t\n\r]+", " ")), 1, 400).alias("spoken"))
 
 
-@query("tx_phantom", "SELECT conv_id, turn FROM conversations WHERE regexp_matches(lower(trim(text)), '^(thank you|thanks|you|bye)[.! ]*$') OR (len(string_split(lower(trim(text)), ' ')) >= 3 AND len(list_distinct(string_split(lower(trim(text)), ' '))) = 1)")
-def phantom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Phrases that silence turns into, and one token said three times or more."""
-    t = F.lower(F.trim("text"))
-    w = F.split(t, " ")
-    return table(spark, sf_dir, "conversations").filter(t.rlike("^(thank you|thanks|you|bye)[.! ]*$") | ((F.size(w) >= 3) & (F.size(F.array_distinct(w)) == 1))).select("conv_id", "turn")
-
 
 @query("tx_catalog", "SELECT doc_id, CASE lang WHEN 'fr' THEN 'oui' WHEN 'de' THEN 'ja' ELSE 'yes' END AS said FROM documents")
 def catalog_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,12 +273,6 @@ def catalog_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.try_element_at(strings, F.col("lang")), F.try_element_at(strings, F.lit("en"))).alias("said"))
 
 
-@query("tx_weather_flags", """
-SELECT event_id, list_filter([CASE WHEN value > 300 THEN 'heat' END, CASE WHEN value % 7 < 1 THEN 'rain' END, CASE WHEN event_type = 'error' THEN 'dust' END], lambda x: x IS NOT NULL) AS flags FROM events""")
-def weather_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flags = F.array(F.when(F.col("value") > 300, "heat"), F.when(F.col("value") % 7 < 1, "rain"), F.when(F.col("event_type") == "error", "dust"))
-    return table(spark, sf_dir, "events").select("event_id", F.filter(flags, lambda x: x.isNotNull()).alias("flags"))
-
 
 @query("agg_confidence_lp", "SELECT user_id, round(least(1, greatest(0, exp(avg(-value/100)))), 6) AS confidence FROM events GROUP BY user_id")
 def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:

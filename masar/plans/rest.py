@@ -71,10 +71,6 @@ def route_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", "tries", F.round(waited, 4).alias("waited"))
 
 
-@query("st_retry", "SELECT event_id, least(2.5::DOUBLE, greatest(0.2::DOUBLE, value/100)) AS wait FROM events")
-def retry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", L.clamp(F.col("value") / 100, 0.2, 2.5).alias("wait"))
-
 
 @query("src_plan_stream", "SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY (CAST(o_orderkey % 1440 AS INTEGER) - 500 + 1440) % 1440, o_orderkey) AS INTEGER) AS n FROM orders")
 def plan_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,11 +89,6 @@ def place_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("tile")).agg(F.count("*").alias("places")).withColumn("checksum", F.sha2(F.col("tile").cast("string"), 256))
 
 
-@query("src_weather", "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS code, CASE WHEN CAST(json_extract(props, '$.k') AS INTEGER) < 50 THEN 'clear' ELSE 'wet' END AS sky FROM events")
-def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.from_json("props", "k int")["k"]
-    return table(spark, sf_dir, "events").select("event_id", k.alias("code"), F.when(k < 50, "clear").otherwise("wet").alias("sky"))
-
 
 @query("src_mvt")
 def vector_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,10 +241,6 @@ def index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words(spark, sf_dir).select("tok").distinct().select("tok", PL.index_terms(F.col("tok")).alias("terms"))
 
 
-@query("tx_norm_txt", "SELECT doc_id, sha256(trim(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\r]+', ' ', 'g'))) AS norm_sha FROM documents")
-def norm_txt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.trim(F.regexp_replace(F.translate("text", X.UPPER, X.LOWER), "[ \t\n\r]+", " ")), 256).alias("norm_sha"))
-
 
 @query("tx_brand", "SELECT p_partkey, CASE WHEN p_brand IN ('Brand#1', 'Brand#2') THEN 'house' WHEN p_brand LIKE 'Brand#1%' THEN 'partner' ELSE 'other' END AS brand FROM part")
 def brand(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,18 +262,6 @@ def place_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").filter(F.col("p_type").rlike("^(ECONOMY|STANDARD|PROMO)")).groupBy("p_type").agg(F.count("*").alias("n"))
 
 
-@query("tx_answer", "SELECT conv_id, turn, CASE WHEN contains(lower(text), 'that') THEN 'You arrive in ' || (turn*5 + 10) || ' minutes.' WHEN contains(lower(text), 'was') THEN 'The road is clear.' ELSE '' END AS answer FROM conversations")
-def answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.lower("text")
-    said = F.when(t.contains("that"), F.concat(F.lit("You arrive in "), (F.col("turn") * 5 + 10).cast("string"), F.lit(" minutes."))).when(t.contains("was"), "The road is clear.").otherwise("")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", said.alias("answer"))
-
-
-@query("tx_match_action", "SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '^(stop|mute|go|repeat)[.! ]*$') THEN 'action' WHEN regexp_matches(lower(text), '^(yes|no|ok|sure)') THEN 'yes_no' WHEN regexp_matches(lower(text), '^(thanks|thank you|bye)') THEN 'closer' ELSE 'none' END AS kind FROM conversations")
-def match_action(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.lower("text")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(t.rlike(r"^(stop|mute|go|repeat)[.! ]*\z"), "action").when(t.rlike("^(yes|no|ok|sure)"), "yes_no").when(t.rlike("^(thanks|thank you|bye)"), "closer").otherwise("none").alias("kind"))
-
 
 _COUNTS = f"(SELECT conv_id, turn, length(regexp_replace(text, '[^{X.ARABIC}]', '', 'g')) AS ar, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS la FROM conversations)"
 
@@ -304,10 +279,6 @@ def stt_script(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(share >= 0.7, "ar").when(1 - share >= 0.7, "en").alias("script"))
 
 
-@query("tx_neutral", "SELECT conv_id, turn FROM conversations WHERE len(list_filter(string_split(lower(trim(text)), ' '), lambda w: w NOT IN ('ah', 'ok', 'oh', 'mm'))) = 0")
-def neutral(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").filter(F.forall(F.split(F.lower(F.trim("text")), " "), lambda w: w.isin("ah", "ok", "oh", "mm"))).select("conv_id", "turn")
-
 
 @query("tx_geojson_flip", f"SELECT s_suppkey, round(lat, 4) AS lat, round(lng, 4) AS lng FROM {SUP}")
 def geojson_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -315,27 +286,6 @@ def geojson_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suppliers(spark, sf_dir).withColumn("p", pair).filter(F.size("p") >= 2).select("s_suppkey", F.get("p", F.lit(1)).alias("lat"), F.get("p", F.lit(0)).alias("lng"))
 
 
-@query("tx_speak_km")
-def speak_km(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", X.speak_distance(F.col("p_size") / 4).alias("said"))
-
-
-@query("tx_egyptianize")
-def egyptianize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", F.concat(Z.spoken_number(F.col("p_size")), F.lit(" دقيقة")).alias("said"))
-
-
-@query("js_walk_names", "SELECT event_id, json_keys(props) AS names FROM events")
-def walk_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.json_object_keys("props").alias("names"))
-
-
-@query("js_sse_parse", "SELECT conv_id, string_agg(substr(text, 1, 5), '' ORDER BY turn) AS joined FROM conversations GROUP BY conv_id")
-def sse_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fragments put together in the order of their index."""
-    parts = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 5).alias("t")))).alias("x"))
-    return parts.select("conv_id", F.array_join(F.transform("x", lambda v: v["t"]), "").alias("joined"))
-
 
 @query("cq_plan_stream", "SELECT o_orderkey, CAST(floor(o_totalprice/100) AS INTEGER) AS seconds, CASE WHEN o_totalprice/100000 < 1.075 THEN 'FREE' WHEN o_totalprice/100000 < 1.16 THEN 'LIGHT' WHEN o_totalprice/100000 < 1.275 THEN 'MODERATE' WHEN o_totalprice/100000 < 1.4 THEN 'HIGH' ELSE 'VERY_HIGH' END AS level FROM orders")
 def plan_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -423,11 +373,6 @@ def entity_pin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").join(strong, F.col("n_nationkey") == F.col("s_nationkey"), "left_anti").select("n_nationkey")
 
 
-@query("st_sentence_stream", "SELECT conv_id, turn, regexp_matches(text, '[.!?؟…]\\s*$') AS closed FROM conversations")
-def sentence_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a buffer's last sentence has ended, so that nothing of it has to wait."""
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").rlike(r"[.!?؟…]\s*\z").alias("closed"))
-
 
 @query("st_jury_grace", "SELECT user_id, count(*) AS witnesses FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, min(ts) OVER (PARTITION BY user_id) AS t FROM events) WHERE n <= 2 OR (n = 3 AND ts <= t + INTERVAL 600 SECOND) GROUP BY user_id")
 def jury_grace(spark: SparkSession, sf_dir: str) -> DataFrame:

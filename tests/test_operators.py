@@ -45,18 +45,6 @@ def test_edit_distance(spark):
     assert column(spark, ["maadi", "madai", None], "string", lambda x: S.osa(x, F.lit("maadi"), 2)) == [0, 1, None]
 
 
-def test_skeletons_agree_over_scripts():
-    assert S.skeletons_of("شارع") == S.skeletons_of("share3") == ["cr"]
-    assert S.skeletons_of("12") == ["12"] and S.skeletons_of("") == [""]
-    assert len(S.skeletons_of("t2r2q2t")) <= 4
-
-
-def test_numbers_and_clocks():
-    assert Z.number_in_words(0) == "صفر" and Z.number_in_words(3, True) == "تلات" and Z.number_in_words(57) == "سبعة وخمسين"
-    assert Z.number_in_words(2_000) == "ألفين" and Z.number_in_words(5_300) == "خمس آلاف وتلتمية"
-    assert Z.clock_in_words(5, 57) == "ستة إلا تلاتة" and Z.clock_in_words(12, 30) == "اتناشر ونص" and Z.clock_in_words(12, 45) == "واحد إلا ربع"
-
-
 def test_arabizi_and_requests(spark):
     cases = {"3ayez aro7 beit": True, "take me home": False, "yalla bina": True, "2nd street at 8am, 5km": False, "za7ma": True, "": False}
     assert column(spark, list(cases), "string", Z.is_arabizi) == list(cases.values())
