@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from masar.operators.lineage import cut
+
 
 def reverse_adjacency(edges: DataFrame) -> DataFrame:
     """(dst, sources): the edges into each node."""
@@ -29,25 +31,15 @@ def bounded_reverse(edges: DataFrame, target: int, max_sec: float, max_hops: int
     while max_hops is None or hops < max_hops:
         reached = frontier.join(best_edges, F.col("dst") == F.col("node")).groupBy("src").agg(F.min(frontier.sec + best_edges.sec).alias("t")).filter(F.col("t") <= max_sec)
         better = reached.join(best.select(F.col("node").alias("k"), F.col("sec").alias("old")), F.col("src") == F.col("k"), "left").filter(F.col("old").isNull() | (F.col("t") < F.col("old"))).select(F.col("src").alias("node"), F.col("t").alias("sec"))
-        better = _cut(better)
+        better = cut(better)
         if better.isEmpty():
             break
-        best = _cut(best.union(better).groupBy("node").agg(F.min("sec").alias("sec")))
+        best = cut(best.union(better).groupBy("node").agg(F.min("sec").alias("sec")))
         frontier, hops = better, hops + 1
     best_edges.unpersist()
     return best
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the cluster's checkpoint folder; in tests, where none is set, in one of our own."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="masar-"))
-    return df.checkpoint()
-
-
 def upstream(edges: DataFrame, target: int, want_sec: float, tolerance: float, max_hops: int | None = None) -> DataFrame:
     """(node, sec, delta): nodes whose time to the target is within the tolerance of the wanted one, not the target itself."""
     near = bounded_reverse(edges, target, want_sec * (1 + tolerance) + 60, max_hops)
