@@ -143,10 +143,6 @@ def _near(spark: SparkSession, sf_dir: str, max_km: float) -> DataFrame:
     return pairs.withColumn("n", F.row_number().over(Window.partitionBy("c_custkey").orderBy("km", "s_suppkey")))
 
 
-@query("cq_nearby", f"SELECT c_custkey, arg_min(s_suppkey, (d, s_suppkey)) AS s_suppkey FROM {_NEARBY} JOIN supplier USING (s_suppkey) WHERE d <= 8 AND s_acctbal > 0 GROUP BY c_custkey")
-def nearby(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _near(spark, sf_dir, 8.0).filter("s_acctbal > 0").groupBy("c_custkey").agg(F.min_by("s_suppkey", F.struct("km", "s_suppkey")).alias("s_suppkey"))
-
 
 @query("cq_eta_to", f"SELECT c_custkey, round(min(d)/30*60, 4) AS minutes FROM {_NEARBY} WHERE d <= 8 GROUP BY c_custkey")
 def eta_to(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,36 +179,6 @@ def route_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return along(spark, sf_dir).groupBy("route").agg(F.round(F.min(G.haversine(F.col("lat"), F.col("lng"), F.lit(30.05), F.lit(31.25), G.RADIUS_PLACE_M)), 2).alias("m"))
 
 
-@query("ps_search", f"""
-WITH v AS (SELECT tok, count(DISTINCT doc_id) AS df FROM {TOKS} WHERE tok IN ('than', 'with', 'from') GROUP BY tok), n AS (SELECT count(*)::DOUBLE AS n FROM documents), i AS (SELECT tok, ln(1 + n/(1 + df))/ln(1 + n) AS idf FROM v, n),
-t AS (SELECT doc_id, sum(idf)/(SELECT sum(idf) FROM i) AS text_score FROM (SELECT DISTINCT doc_id, tok FROM {TOKS}) JOIN i USING (tok) GROUP BY doc_id)
-SELECT t.doc_id, round(0.6*text_score + 0.4/(1 + (t.doc_id % 97)/10.0::DOUBLE), 6) AS score, source FROM t JOIN documents USING (doc_id) ORDER BY round(0.6*text_score + 0.4/(1 + (t.doc_id % 97)/10.0::DOUBLE), 6) DESC, t.doc_id LIMIT 50""")
-def search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text and proximity weighed together; the key stands for the distance."""
-    t = S.coverage_score(words(spark, sf_dir), ["than", "with", "from"], table(spark, sf_dir, "documents").count())
-    score = F.round(0.6 * F.col("score") + 0.4 / (1 + (F.col("doc_id") % 97) / 10.0), 6)
-    top = t.select("doc_id", score.alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
-    return top.join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").select("doc_id", "score", "source")
-
-
-@query("ps_typed", "SELECT p_partkey FROM (SELECT p_partkey, p_type, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS n FROM part) WHERE n <= 60 AND p_type = 'ECONOMY' ORDER BY n LIMIT 20")
-def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three times as many as asked for, then the family, then the limit."""
-    top = table(spark, sf_dir, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(60)
-    return top.filter("p_type = 'ECONOMY'").orderBy(F.desc("p_retailprice"), "p_partkey").limit(20).select("p_partkey")
-
-
-@query("ps_brand_family", "SELECT a.p_partkey FROM part a WHERE (a.p_brand, a.p_type) IN (SELECT p_brand, p_type FROM part GROUP BY ALL HAVING count(*) >= 20)")
-def brand_family(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
-    fit = p.groupBy("p_brand", "p_type").agg(F.count("*").alias("n")).filter("n >= 20")
-    return p.join(fit, ["p_brand", "p_type"], "left_semi").select("p_partkey")
-
-
-@query("cq_autocomplete", "SELECT p_partkey FROM part WHERE starts_with(p_name, 'sm') ORDER BY p_retailprice DESC, p_partkey LIMIT 5")
-def autocomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").filter(F.col("p_name").startswith("sm")).orderBy(F.desc("p_retailprice"), "p_partkey").limit(5).select("p_partkey")
-
 
 @query("cq_details", "SELECT 'rm:' || p_partkey AS pid, p_name FROM part")
 def details(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from masar.plans import assistant, codecs, decisions, geometry, language, rest, talk, traffic  # noqa: F401  registers their queries
+from masar.plans import assistant, codecs, decisions, geometry, language, placequeries, rest, talk, traffic  # noqa: F401  registers their queries
 from masar.plans.registry import ORACLES, QUERIES, Query
 
 

@@ -462,22 +462,6 @@ def group_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.min_by("p_partkey", F.struct("p_size", "p_partkey")).alias("nearest"), F.max("p_retailprice").alias("score"))
 
 
-@query("ps_category_ring", "WITH r AS (SELECT p_type, p_partkey, CAST(greatest(0, ceil(log2(p_size/3.0::DOUBLE))) AS INTEGER) AS ring FROM part), c AS (SELECT p_type, ring, sum(count(*)) OVER (PARTITION BY p_type ORDER BY ring) - count(*) AS before FROM r GROUP BY p_type, ring) SELECT r.p_type, r.p_partkey, r.ring FROM r JOIN c USING (p_type, ring) WHERE c.before < 12")
-def category_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An expanding radius in one pass: rings double, and all rings up to the one that reaches twelve hits stay."""
-    ring = F.greatest(F.lit(0), F.ceil(F.log2(F.col("p_size") / 3.0)).cast("int"))
-    r = table(spark, sf_dir, "part").select("p_type", "p_partkey", ring.alias("ring"))
-    per = r.groupBy("p_type", "ring").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("p_type").orderBy("ring").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    kept = per.withColumn("before", before).filter("before < 12").select("p_type", "ring")
-    return r.join(kept, ["p_type", "ring"]).select("p_type", "p_partkey", "ring")
-
-
-@query("ps_tau", "SELECT p_partkey, round(exp(-p_size/CASE WHEN p_type = 'ECONOMY' THEN 6.0::DOUBLE WHEN p_type = 'PROMO' THEN 12.0::DOUBLE ELSE 25.0::DOUBLE END), 6) AS prox FROM part")
-def tau(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scale = F.when(F.col("p_type") == "ECONOMY", 6.0).when(F.col("p_type") == "PROMO", 12.0).otherwise(25.0)
-    return table(spark, sf_dir, "part").select("p_partkey", F.round(F.exp(-F.col("p_size") / scale), 6).alias("prox"))
-
 
 @query("cq_detours", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(greatest(0, l_extendedprice - l_quantity*1000), 4) AS added FROM lineitem")
 def detours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,22 +128,6 @@ def fuzzy6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.withColumn("edits", S.osa("tok", F.lit("wiht"), 2)).filter("edits <= 2").orderBy("edits", F.desc("df"), "tok").limit(6)
 
 
-@query("agg_text_score", f"""
-WITH v AS (SELECT tok, count(DISTINCT doc_id) AS df FROM {TOKS} WHERE tok IN ('the', 'than', 'with', 'die') GROUP BY tok), n AS (SELECT count(*)::DOUBLE AS n FROM documents),
-i AS (SELECT tok, ln(1 + n/(1 + df))/ln(1 + n) AS idf FROM v, n), p AS (SELECT DISTINCT doc_id, tok FROM {TOKS} WHERE tok IN ('the', 'than', 'with', 'die'))
-SELECT doc_id, round(sum(idf)/(SELECT sum(idf) FROM i), 6) AS score FROM p JOIN i USING (tok) GROUP BY doc_id""")
-def text_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = words(spark, sf_dir)
-    return S.coverage_score(w, ["the", "than", "with", "die"], table(spark, sf_dir, "documents").count()).select("doc_id", F.round("score", 6).alias("score"))
-
-
-@query("tx_place_tokens", f"SELECT doc_id, len(list_filter(list_zip(l[:-2], l[2:]), lambda x: length(x[1]) + length(x[2]) <= 12)) AS bigrams FROM (SELECT doc_id, list_filter(string_split(norm, ' '), lambda t: t <> '') AS l FROM {NORM}) WHERE len(l) >= 2")
-def place_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring tokens that are 12 characters or fewer when joined."""
-    t = normalized(spark, sf_dir).select("doc_id", X.tokens(F.col("norm")).alias("t")).filter(F.size("t") >= 2)
-    joined = F.zip_with(F.slice("t", F.lit(1), F.size("t") - 1), F.slice("t", F.lit(2), F.size("t")), lambda a, b: F.length(a) + F.length(b))
-    return t.select("doc_id", F.size(F.filter(joined, lambda n: n <= 12)).cast("long").alias("bigrams"))
-
 
 @query("tx_split_sentences", "SELECT doc_id, len(list_filter(regexp_split_to_array(regexp_replace(text, '([.!?؟…])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' \t\n\r') <> '')) AS n FROM documents")
 def split_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:

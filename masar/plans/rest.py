@@ -11,7 +11,6 @@ from masar.functions import levels as L
 from masar.functions import speech as Z
 from masar.functions import text as X
 from masar.functions import times as T
-from masar.operators import places as PL
 from masar.operators import plans as P
 from masar.operators import readings as R
 from masar.operators import routes as O
@@ -20,8 +19,6 @@ from masar.plans.language import TOKS, words
 from masar.plans.registry import query, table
 from masar.plans.traffic import READ, read
 
-#: A lexicon of the part table's words.
-LEXICON = PL.Lexicon(categories={"ring": "jewel", "plate": "dish", "box": "store"}, brands={"blue": "b1", "red": "b2"}, entities={"small": "downtown", "large": "uptown"})
 
 
 @query("src_junction_csv", f"SELECT s_suppkey AS junction_idx, round(lat, 4) AS latitude, round(lng, 4) AS longitude, CASE WHEN s_nationkey % 2 = 0 THEN 'Cairo' ELSE 'Giza' END AS governorate FROM {SUP}")
@@ -231,16 +228,6 @@ def is_arabic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.col("text").rlike(f"[{X.ARABIC}]").alias("arabic"))
 
 
-@query("tx_word_match")
-def word_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return PL.matched(table(spark, sf_dir, "part").select("p_partkey", F.split("p_name", " ").alias("tokens")), "p_partkey", "tokens", "rign")
-
-
-@query("tx_index_terms")
-def index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return words(spark, sf_dir).select("tok").distinct().select("tok", PL.index_terms(F.col("tok")).alias("terms"))
-
-
 
 @query("tx_brand", "SELECT p_partkey, CASE WHEN p_brand IN ('Brand#1', 'Brand#2') THEN 'house' WHEN p_brand LIKE 'Brand#1%' THEN 'partner' ELSE 'other' END AS brand FROM part")
 def brand(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -318,16 +305,6 @@ def prayers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("day", upcoming.alias("next"))
 
 
-@query("cq_search_places", "SELECT p_partkey FROM part WHERE contains(p_name, 'ring') ORDER BY p_size, p_partkey LIMIT 20")
-def search_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").filter(F.col("p_name").contains("ring")).orderBy("p_size", "p_partkey").limit(20).select("p_partkey")
-
-
-@query("cq_by_pid", "SELECT p_name, min(p_partkey) AS p_partkey FROM part GROUP BY p_name")
-def by_pid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of equal ids in several tiles the nearest tile's."""
-    return table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("p_partkey"))
-
 
 @query("cq_along_pois", f"WITH k AS (SELECT route, min(cum) FILTER (WHERE {hav('lat', 'lng', '30.05', '31.25')} <= 5) AS a, count(*) AS n FROM {CUM} GROUP BY route) SELECT route, CASE WHEN a IS NULL THEN 'fallback' ELSE 'index' END AS source FROM k")
 def along_pois(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -348,31 +325,6 @@ def resolve_pois(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy("p_type").agg(F.coalesce(F.min(F.when(F.col("p_size") <= 5, F.col("p_partkey"))), F.min("p_partkey")).alias("p_partkey"))
 
 
-@query("ps_lexicon", f"SELECT tok, count(DISTINCT doc_id) AS df FROM {TOKS} WHERE length(tok) >= 3 GROUP BY tok HAVING count(DISTINCT doc_id) >= 50")
-def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = words(spark, sf_dir).filter(F.char_length("tok") >= 3).distinct()
-    return w.groupBy("tok").agg(F.count("*").alias("df")).filter("df >= 50")
-
-
-@query("ps_parse")
-def parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return PL.parse(table(spark, sf_dir, "part"), "p_partkey", "p_name", LEXICON)
-
-
-@query("ps_refine_area", f"SELECT n_nationkey, arg_min(s_suppkey, (d, s_suppkey)) AS s_suppkey FROM (SELECT n_nationkey, s_suppkey, {hav('lat', 'lng', '30.05', '31.25')} AS d FROM nation JOIN {SUP} ON s_nationkey = n_nationkey) WHERE d <= 20 GROUP BY n_nationkey")
-def refine_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A name's point moves to its best match near by."""
-    d = suppliers(spark, sf_dir).withColumn("d", G.haversine(F.col("lat"), F.col("lng"), F.lit(30.05), F.lit(31.25))).filter("d <= 20")
-    return d.join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey")).groupBy("n_nationkey").agg(F.min_by("s_suppkey", F.struct("d", "s_suppkey")).alias("s_suppkey"))
-
-
-@query("ps_entity_pin", "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 8000)")
-def entity_pin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lexicon pins for what has no strong match near by."""
-    strong = table(spark, sf_dir, "supplier").filter("s_acctbal > 8000")
-    return table(spark, sf_dir, "nation").join(strong, F.col("n_nationkey") == F.col("s_nationkey"), "left_anti").select("n_nationkey")
-
-
 
 @query("st_jury_grace", "SELECT user_id, count(*) AS witnesses FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, min(ts) OVER (PARTITION BY user_id) AS t FROM events) WHERE n <= 2 OR (n = 3 AND ts <= t + INTERVAL 600 SECOND) GROUP BY user_id")
 def jury_grace(spark: SparkSession, sf_dir: str) -> DataFrame:
