@@ -244,13 +244,6 @@ def follow_up(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@query("cq_links", "SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 404 WHEN o_orderstatus = 'F' OR o_orderdate + INTERVAL 30 DAY < TIMESTAMP '1998-06-01' THEN 410 WHEN o_orderpriority = '5-LOW' THEN 403 ELSE 200 END AS status FROM orders")
-def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The outcome of a link request as a status column."""
-    state = P.row_state(F.col("o_orderstatus") == "F", F.col("o_orderdate") + F.expr("INTERVAL 30 DAYS"), F.lit("1998-06-01 00:00:00").cast("timestamp_ntz"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 11 == 0, 404).when(state != "live", 410).when(F.col("o_orderpriority") == "5-LOW", 403).otherwise(200).alias("status"))
-
-
 @query("sink_reading", f"SELECT event_id, hour, dow, dow IN (5, 6) AS is_weekend, dow = 4 AS is_friday FROM {READ}")
 def sink_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calendar columns as the collector stores them: its weekend is Saturday and Sunday."""

@@ -96,11 +96,6 @@ def synth_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.withColumn("n", n).filter("n <= 50").select(F.col("f.event_id").alias("event_id"))
 
 
-@query("st_live_trip", "SELECT user_id, arg_max(value, (ts, event_id)) AS position, bool_or(event_type = 'purchase') AS ended FROM events GROUP BY user_id")
-def live_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last position of each trip, and whether it has ended."""
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("value", F.struct("ts", "event_id")).alias("position"), F.bool_or(F.col("event_type") == "purchase").alias("ended"))
-
 
 @query("st_live_horizon", "SELECT event_id, CASE WHEN value/4 <= 60 THEN 'live' ELSE 'pattern' END AS source FROM events")
 def live_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -330,31 +325,6 @@ def valid_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-
-@query("prj_link_norm", "SELECT event_id, CASE WHEN event_type = 'view' AND json_extract(props, '$.k')::INTEGER <= 90 THEN 'coordinate' WHEN event_type = 'click' THEN 'query' END AS kind, CASE WHEN event_type IN ('view', 'click') THEN json_extract(props, '$.k')::INTEGER ELSE -1 END AS k FROM events")
-def link_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tagged union read from JSON; what fits no kind is null."""
-    k = F.from_json("props", "k int")["k"]
-    kind = F.when((F.col("event_type") == "view") & (k <= 90), "coordinate").when(F.col("event_type") == "click", "query")
-    return table(spark, sf_dir, "events").select("event_id", kind.alias("kind"), F.when(F.col("event_type").isin("view", "click"), k).otherwise(-1).alias("k"))
-
-
-@query("prj_link_go", "SELECT page_id, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page, nullif(regexp_extract(url, '[?&]ref=([^&#]*)', 1), '') AS ref FROM pages")
-def link_go(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = lambda name: F.nullif(F.regexp_extract("url", f"[?&]{name}=([^&#]*)", 1), F.lit(""))
-    return table(spark, sf_dir, "pages").select("page_id", q("page").alias("page"), q("ref").alias("ref"))
-
-
-@query("prj_link_urls", "SELECT c_custkey, 'https://maps.example/?q=' || replace(replace(c_name, '#', '%23'), ' ', '+') AS url FROM customer")
-def link_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("https://maps.example/?q="), F.url_encode("c_name")).alias("url"))
-
-
-@query("prj_link_point_title", "SELECT p_partkey, coalesce(nullif(CASE WHEN p_size > 25 THEN p_name ELSE '' END, ''), p_brand) AS title FROM part")
-def link_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", F.coalesce(F.nullif(F.when(F.col("p_size") > 25, F.col("p_name")).otherwise(""), F.lit("")), F.col("p_brand")).alias("title"))
-
-
 @query("tx_duration_parse", "SELECT event_id, CASE WHEN event_type = 'view' THEN -1 ELSE CAST(floor(value) AS INTEGER) END AS seconds FROM events")
 def duration_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(F.col("event_type") != "view", F.concat(F.floor("value").cast("string"), F.lit("s")))

@@ -216,28 +216,6 @@ def html_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").filter(F.lower(F.substring("html", 1, 14)) == "<!doctype html").select("page_id", F.char_length(F.substring(F.encode("html", "UTF-8"), 1, 600 * 1024).cast("string")).cast("long").alias("n"))
 
 
-@query("tx_html_extract", """
-SELECT page_id, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title, coalesce(nullif(regexp_extract(url, '@(-?[0-9.]+),', 1), ''), nullif(regexp_extract(url, '[?&]page=([0-9]+)', 1), ''), nullif(regexp_extract(url, '/([0-9]+)', 1), '')) AS place FROM pages""")
-def html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = X.first_of(*(F.regexp_extract("url", p, 1) for p in (r"@(-?[0-9.]+),", r"[?&]page=([0-9]+)", r"/([0-9]+)")))
-    return table(spark, sf_dir, "pages").select("page_id", X.first_of(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"), place.alias("place"))
-
-
-
-@query("tx_url_guard", """
-WITH u AS (SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages)
-SELECT page_id, scheme = 'https' AND NOT regexp_matches(host, '[@:]') AND (host = 'example.com' OR ends_with(host, '.example.com')) AS allowed FROM u""")
-def url_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """https, no port or credentials, a host of the list or below one."""
-    scheme, host = F.regexp_extract("url", "^([a-z]+)://", 1), F.regexp_extract("url", "://([^/?#]*)", 1)
-    return table(spark, sf_dir, "pages").select("page_id", ((scheme == "https") & ~host.rlike("[@:]") & ((host == "example.com") | host.endswith(".example.com"))).alias("allowed"))
-
-
-@query("cq_html_continue", "SELECT page_id, replace(regexp_extract(html, 'href=\"([^\"]*)\"', 1), '&amp;', '&') AS target FROM pages")
-def html_continue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.replace(F.regexp_extract("html", 'href="([^"]*)"', 1), F.lit("&amp;"), F.lit("&")).alias("target"))
-
-
 
 @query("tx_strip_tokens", "SELECT p_partkey, trim(regexp_replace(regexp_replace(p_name, '\\b(small|blue|ring)\\b', '', 'g'), ' +', ' ', 'g')) AS rest FROM part")
 def strip_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,10 +117,6 @@ def insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.union(e.filter("event_type = 'view'")).groupBy("user_id").agg(F.count("*").alias("n"))
 
 
-@query("sink_link_crud", "SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus <> 'F') AS live, count(*) AS minted FROM orders GROUP BY o_custkey")
-def link_crud(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") != "F").alias("live"), F.count("*").alias("minted"))
-
 
 @query("sink_checkpoint", "SELECT CAST(event_id // 5000 AS BIGINT) AS chunk, count(*) AS n, max(event_id) AS resume FROM events GROUP BY 1")
 def checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
