@@ -57,11 +57,6 @@ def notification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir).select("event_id", said.alias("said"))
 
 
-@query("sink_notify", "SELECT user_id, count(*) FILTER (WHERE value > 5) AS sent, count(*) AS tokens FROM events GROUP BY user_id")
-def notify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(F.col("value") > 5).alias("sent"), F.count("*").alias("tokens"))
-
-
 
 @query("prj_context", "SELECT o_orderkey, concat_ws(chr(10), 'Status: ' || o_orderstatus, CASE WHEN o_totalprice > 100000 THEN 'Price: ' || CAST(floor(o_totalprice) AS BIGINT) END, 'Priority: ' || o_orderpriority) AS block FROM orders")
 def context(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,17 +107,6 @@ def doc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.latest(e, "user_id", 12).select("user_id", "event_id")
 
 
-@query("src_mapbox_dur", "SELECT o_orderkey, round(o_totalprice/greatest(o_totalprice*0.8::DOUBLE, 1) + 1e-9, 6) AS ratio FROM orders")
-def duration_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(F.col("o_totalprice") / F.greatest(F.col("o_totalprice") * 0.8, F.lit(1.0)) + 1e-9, 6).alias("ratio"))
-
-
-@query("src_mapbox_seg", "SELECT vec_id, round(list_avg(list_transform(embedding, lambda x: abs(x::DOUBLE)))*3.6, 5) AS speed FROM embeddings")
-def segment_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mean of an array of metres per second, in kilometres per hour."""
-    mean = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + F.abs(x.cast("double"))) / F.size("embedding")
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(mean * 3.6, 5).alias("speed"))
-
 
 _NEARBY = f"(SELECT c_custkey, s_suppkey, {hav('c.lat', 'c.lng', 's.lat', 's.lng', '6371008.8::DOUBLE')}/1000 AS km, {hav('c.lat', 'c.lng', 's.lat', 's.lng')} AS d FROM {CUS} c, {SUP} s)"
 
@@ -244,12 +228,6 @@ def follow_up(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@query("sink_reading", f"SELECT event_id, hour, dow, dow IN (5, 6) AS is_weekend, dow = 4 AS is_friday FROM {READ}")
-def sink_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calendar columns as the collector stores them: its weekend is Saturday and Sunday."""
-    return read(spark, sf_dir).select("event_id", "hour", "dow", F.col("dow").isin(5, 6).alias("is_weekend"), (F.col("dow") == 4).alias("is_friday"))
-
-
 @query("st_plan_progressive", "SELECT user_id, CAST(hour(ts) AS INTEGER) AS slot, 'provisional' AS kind, round(avg(value), 6) AS v FROM events GROUP BY ALL UNION ALL SELECT user_id, CAST(hour(ts) AS INTEGER), 'update', round(avg(value)*1.1, 6) FROM events WHERE event_type = 'view' GROUP BY ALL")
 def progressive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Provisional slots first, refined ones after."""

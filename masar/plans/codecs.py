@@ -58,11 +58,3 @@ def inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     window = F.flatten(F.array_repeat("embedding", 3))
     e = table(spark, sf_dir, "embeddings").select("vec_id", window.alias("w"))
     return N.predict(e, "vec_id", "w", N.seeded()).select("vec_id", *(F.round(c, 6).alias(c) for c in ("jam_15", "jam_30", "jam_60", "congested")))
-
-
-@query("sink_update", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders")
-def update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An upsert as a rewrite: the later version of each key."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.lit(1).alias("version"))
-    new = o.filter("o_orderkey % 3 = 0").withColumns({"o_orderstatus": F.lit("X"), "version": F.lit(2)})
-    return sinks.upserted(o, new, "o_orderkey", "version").select("o_orderkey", "o_orderstatus")

@@ -271,27 +271,6 @@ def slots_from_now(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.pmod(F.hour("ts") * 60 + F.minute("ts") - 500, F.lit(1440)).alias("ahead"))
 
 
-@query("src_plan27", "SELECT o_orderkey, unnest(range(27)) AS slot FROM orders")
-def plan27(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(26).cast("long"))).alias("slot"))
-
-
-@query("src_google_plan", "SELECT o_orderkey, CASE WHEN t <= TIMESTAMP '1998-06-03 09:00' THEN t + INTERVAL 7 DAY ELSE t END AS leave FROM (SELECT o_orderkey, TIMESTAMP '1998-06-03' + INTERVAL (o_orderkey % 24) HOUR AS t FROM orders)")
-def google_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A slot that has passed is asked for a week later."""
-    t = F.lit("1998-06-03").cast("timestamp_ntz") + F.make_dt_interval(hours=(F.col("o_orderkey") % 24).cast("int"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.when(t <= F.lit("1998-06-03 09:00:00").cast("timestamp_ntz"), t + F.expr("INTERVAL 7 DAYS")).otherwise(t).alias("leave"))
-
-
-@query("src_google_cong", "SELECT o_orderkey, round(o_totalprice/CASE WHEN o_orderkey % 3 = 0 THEN 90000 WHEN o_orderkey % 5 = 0 THEN 80000 ELSE 100000 END + 1e-9, 6) AS ratio, CASE WHEN o_orderkey % 3 = 0 THEN 'night' WHEN o_orderkey % 5 = 0 THEN 'unaware' ELSE 'stored' END AS source FROM orders")
-def congestion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Live against the first baseline there is."""
-    from masar.operators.readings import first_source
-
-    k = F.col("o_orderkey")
-    base, source = first_source((("night", F.when(k % 3 == 0, 90000.0)), ("unaware", F.when(k % 5 == 0, 80000.0)), ("stored", F.lit(100000.0))), "none", 1.0)
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(F.col("o_totalprice") / base + 1e-9, 6).alias("ratio"), source.alias("source"))
-
 
 @query("prj_row_state", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'revoked' WHEN o_orderdate + INTERVAL 30 DAY < TIMESTAMP '1998-06-01' THEN 'expired' ELSE 'live' END AS state FROM orders")
 def row_state(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,59 +33,6 @@ def combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connectors.combined(spark, None, table(spark, sf_dir, "supplier").select("s_suppkey"))
 
 
-@query("src_json_cfg", "SELECT DISTINCT CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")
-def json_config(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(F.from_json("props", "k int")["k"].alias("k")).distinct()
-
-
-@query("src_rest_paged", "SELECT o_orderkey, CAST(o_orderkey // 1000 AS BIGINT) AS page FROM orders WHERE o_orderstatus = 'O'")
-def paged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").filter("o_orderstatus = 'O'").select("o_orderkey", F.floor(F.col("o_orderkey") / 1000).cast("long").alias("page"))
-
-
-@query("src_flow_point", f"SELECT event_id, cur, free, round(cur/free, 6) AS speed_ratio, CASE WHEN cur >= 50 THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END AS confidence FROM {READ}")
-def flow_point(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir).select("event_id", "cur", "free", F.round(R.speed_ratio(F.col("cur"), F.col("free")), 6).alias("speed_ratio"), F.when(F.col("cur") >= 50, 0.9).otherwise(0.6).alias("confidence"))
-
-
-@query("src_flow_many", f"SELECT junction, arg_max(cur, (ts, event_id)) AS cur FROM {READ} WHERE event_type <> 'error' GROUP BY junction")
-def flow_many(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir).filter("event_type <> 'error'").groupBy("junction").agg(F.max_by("cur", F.struct("ts", "event_id")).alias("cur"))
-
-
-@query("src_flow_precise", f"SELECT event_id, cur FROM {READ} WHERE event_type <> 'error' AND free > 0")
-def flow_precise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Closed roads and those without a free speed give nothing."""
-    return read(spark, sf_dir).filter("event_type <> 'error' and free > 0").select("event_id", "cur")
-
-
-@query("src_route_dur", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 3 WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END AS tries, round(CASE WHEN o_orderkey % 7 = 0 THEN 2.5::DOUBLE WHEN o_orderkey % 3 = 0 THEN 1.0::DOUBLE ELSE 0::DOUBLE END, 4) AS waited FROM orders")
-def route_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tries with waits of 1.5 to the power of the try: the total that a request has waited."""
-    tries = F.when(F.col("o_orderkey") % 7 == 0, 3).when(F.col("o_orderkey") % 3 == 0, 2).otherwise(1)
-    o = table(spark, sf_dir, "orders").select("o_orderkey", tries.alias("tries"))
-    waited = F.aggregate(F.slice(F.sequence(F.lit(0), F.lit(2)), F.lit(1), F.col("tries") - 1), F.lit(0.0), lambda a, k: a + F.pow(F.lit(1.5), k))
-    return o.select("o_orderkey", "tries", F.round(waited, 4).alias("waited"))
-
-
-
-@query("src_plan_stream", "SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY (CAST(o_orderkey % 1440 AS INTEGER) - 500 + 1440) % 1440, o_orderkey) AS INTEGER) AS n FROM orders")
-def plan_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slots in the cyclic order of their distance from now."""
-    ahead = F.pmod((F.col("o_orderkey") % 1440).cast("int") - 500, F.lit(1440))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy(ahead, "o_orderkey")).alias("n"))
-
-
-@query("src_overpass", f"SELECT s_suppkey FROM {SUP} WHERE lat BETWEEN 29.95 AND 30.1 AND lng BETWEEN 31.1 AND 31.4 AND s_acctbal > 0")
-def overpass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suppliers(spark, sf_dir).filter(F.col("lat").between(29.95, 30.1) & F.col("lng").between(31.1, 31.4) & (F.col("s_acctbal") > 0)).select("s_suppkey")
-
-
-@query("src_place_tiles", "SELECT s_nationkey AS tile, count(*) AS places, sha256(CAST(s_nationkey AS VARCHAR)) AS checksum FROM supplier GROUP BY s_nationkey")
-def place_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("tile")).agg(F.count("*").alias("places")).withColumn("checksum", F.sha2(F.col("tile").cast("string"), 256))
-
-
 
 @query("src_mvt")
 def vector_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,24 +57,6 @@ def select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
 
 
-@query("sink_insert", "SELECT user_id, count(*) AS n FROM (SELECT user_id FROM events UNION ALL SELECT user_id FROM events WHERE event_type = 'view') GROUP BY user_id")
-def insert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a table holds after an append."""
-    e = table(spark, sf_dir, "events").select("user_id", "event_type")
-    return e.union(e.filter("event_type = 'view'")).groupBy("user_id").agg(F.count("*").alias("n"))
-
-
-
-@query("sink_checkpoint", "SELECT CAST(event_id // 5000 AS BIGINT) AS chunk, count(*) AS n, max(event_id) AS resume FROM events GROUP BY 1")
-def checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where an import that is written chunk by chunk would go on."""
-    return table(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / 5000).cast("long").alias("chunk")).agg(F.count("*").alias("n"), F.max("event_id").alias("resume"))
-
-
-@query("sink_virtual", "SELECT 'V_' || n_name || '_' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS junction_id FROM nation")
-def virtual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").select(F.format_string("V_%s_%03d", "n_name", "n_nationkey").alias("junction_id"))
-
 
 @query("gr_virtual")
 def virtual_junctions(spark: SparkSession, sf_dir: str) -> DataFrame:

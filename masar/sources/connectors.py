@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from urllib.error import HTTPError, URLError
 from urllib.request import Request, urlopen
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,7 +42,10 @@ class Page(InputPartition):
 
 
 class PagedTable(DataSource):
-    """Options: url (http(s): or file: template with {page}), pages, token (a header, from the caller's environment only)."""
+    """Options: url (http(s): or file: template with {page}), size (rows of a full page), token (a header, from the caller's environment only).
+
+    With ``pages`` each page is a partition; without, tasks of ``step`` (8) each take every so manieth page and stop at the first short one.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -66,17 +70,41 @@ class PagedReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[Page]:
-        return [Page(k) for k in range(int(self.options.get("pages", 1)))]
+        return [Page(k) for k in range(int(self.options.get("pages", self.options.get("step", 8))))]
 
     def read(self, partition: Page) -> Iterator[tuple]:
-        url = self.options["url"].format(page=partition.number)
-        request = Request(url, headers={"Authorization": f"Bearer {self.options['token']}"} if self.options.get("token") else {})
-        with urlopen(request, timeout=30) as answer:
-            rows = json.load(answer)
+        if "pages" in self.options:
+            yield from self._matching(self._page(partition.number) or [])
+            return
+        number, size = partition.number, int(self.options.get("size", 1000))
+        while True:
+            rows = self._page(number)
+            yield from self._matching(rows or [])
+            if rows is None or len(rows) < size:
+                return
+            number += int(self.options.get("step", 8))
+
+    def _matching(self, rows: list[dict]) -> Iterator[tuple]:
         for row in rows:
             if all(row.get(k) == v for k, v in self.equal.items()):
                 yield tuple(row.get(n) for n in self.names)
 
+    def _page(self, number: int) -> list[dict] | None:
+        """The rows of a page; none beyond the last."""
+        url = self.options["url"].format(page=number)
+        request = Request(url, headers={"Authorization": f"Bearer {self.options['token']}"} if self.options.get("token") else {})
+        try:
+            with urlopen(request, timeout=30) as answer:
+                return json.load(answer)
+        except HTTPError as e:
+            if e.code in (404, 416):
+                return None
+            raise
+        except URLError as e:
+            if url.startswith("file:") and isinstance(e.reason, (FileNotFoundError, str)):
+                return None
+            raise
+
 
 def register(spark: SparkSession) -> None:
     """Makes the source known, and lets filters reach it."""
