@@ -108,10 +108,11 @@ def fold(rows: DataFrame, key: str, order: list[str], inputs: list[str], step: S
     names = dict(rows.dtypes)
 
     def run(pieces: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, state = object(), None
+        last, state = object(), None  # no key equals it; a null key is one of its own
         for piece in pieces:
             made = []
             for k, i, *row in piece.itertuples(index=False):
+                k = None if pd.isna(k) else k
                 if k != last:
                     last, state = k, None
                 state, decision = step(state, tuple(row))

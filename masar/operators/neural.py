@@ -13,24 +13,26 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FEATURES, HIDDEN, EMBEDDED, RECURRENT, STEPS = 16, 32, 64, 128, 12
+FEATURES, HIDDEN, EMBEDDED, RECURRENT, STEPS = 16, 64, 32, 128, 12
+JAM_HEAD, LEVEL_HEAD = (RECURRENT, 256, 128, 3), (RECURRENT, 128, 2)
 
 
 @dataclass(frozen=True)
 class Weights:
-    """Matrices of the two convolutions, the two recurrent layers (input, state, bias) and the two heads."""
+    """Matrices of the two convolutions, the two recurrent layers (input, state, bias) and the layers of the two heads (matrix, bias)."""
 
     conv: tuple[np.ndarray, ...]
     lstm: tuple[tuple[np.ndarray, np.ndarray, np.ndarray], ...]
-    jam: tuple[np.ndarray, np.ndarray]
-    level: tuple[np.ndarray, np.ndarray]
+    jam: tuple[tuple[np.ndarray, np.ndarray], ...]
+    level: tuple[tuple[np.ndarray, np.ndarray], ...]
 
 
 def seeded(seed: int = 0) -> Weights:
     rng = np.random.default_rng(seed)
     w = lambda *s: rng.normal(0, 1 / np.sqrt(s[0]), s)
     lstm = tuple((w(n, 4 * RECURRENT), w(RECURRENT, 4 * RECURRENT), np.zeros(4 * RECURRENT)) for n in (EMBEDDED, RECURRENT))
-    return Weights((w(FEATURES, HIDDEN), w(HIDDEN, EMBEDDED)), lstm, (w(RECURRENT, 3), np.zeros(3)), (w(RECURRENT, 2), np.zeros(2)))
+    head = lambda sizes: tuple((w(a, b), np.zeros(b)) for a, b in zip(sizes, sizes[1:], strict=False))
+    return Weights((w(FEATURES, HIDDEN), w(HIDDEN, EMBEDDED)), lstm, head(JAM_HEAD), head(LEVEL_HEAD))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -44,6 +46,13 @@ def normalised(adjacency: np.ndarray) -> np.ndarray:
     return a * d[:, None] * d[None, :]
 
 
+def _head(x: np.ndarray, layers: tuple[tuple[np.ndarray, np.ndarray], ...]) -> np.ndarray:
+    for k, (matrix, bias) in enumerate(layers):
+        x = x @ matrix + bias
+        x = np.maximum(x, 0) if k < len(layers) - 1 else x
+    return x
+
+
 def infer(x: np.ndarray, weights: Weights, mixing: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """x: (rows, steps, features) -> jams at three horizons in 0..1, and two class probabilities.
 
@@ -64,9 +73,9 @@ def infer(x: np.ndarray, weights: Weights, mixing: np.ndarray | None = None) ->
             out.append(h)
         x = np.stack(out, axis=1)
     last = x[:, -1]
-    logits = last @ weights.level[0] + weights.level[1]
+    logits = _head(last, weights.level)
     e = np.exp(logits - logits.max(axis=1, keepdims=True))
-    return _sigmoid(last @ weights.jam[0] + weights.jam[1]), e / e.sum(axis=1, keepdims=True)
+    return _sigmoid(_head(last, weights.jam)), e / e.sum(axis=1, keepdims=True)
 
 
 def predict(windows: DataFrame, key: str, column: str, weights: Weights) -> DataFrame:
@@ -82,3 +91,26 @@ def predict(windows: DataFrame, key: str, column: str, weights: Weights) -> Data
 
     kind = dict(windows.dtypes)[key]
     return windows.filter(F.size(column) == STEPS * FEATURES).select(key, column).mapInPandas(run, f"{key} {kind}, jam_15 double, jam_30 double, jam_60 double, congested double")
+
+
+def predict_graphs(windows: DataFrame, graph: str, node: str, column: str, weights: Weights, edges: dict[tuple[int, int], float], nodes: int) -> DataFrame:
+    """(graph, node, jam_15, jam_30, jam_60, congested): each graph's nodes (0 to ``nodes`` - 1) mixed along the edges at every step.
+
+    A graph is one window of all junctions, so its size is that of the road network and not of the data; nodes without readings count as noughts and give no row.
+    """
+    adjacency = np.zeros((nodes, nodes))
+    for (a, b), weight in edges.items():
+        adjacency[b, a] += weight
+    mixing = normalised(adjacency)
+    held = windows.sparkSession.sparkContext.broadcast((weights, mixing))  # a fixed size, and that of the road network
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        own, mix = held.value
+        x = np.zeros((nodes, STEPS, FEATURES))
+        at = group[node].to_numpy(int)
+        x[at] = np.stack(group[column].to_list()).reshape(len(group), STEPS, FEATURES)
+        jam, level = infer(x, own, mix)
+        return pd.DataFrame({graph: group[graph], node: group[node], "jam_15": jam[at, 0], "jam_30": jam[at, 1], "jam_60": jam[at, 2], "congested": level[at, 1]})
+
+    kinds = dict(windows.dtypes)
+    return windows.filter(F.size(column) == STEPS * FEATURES).select(graph, node, column).groupBy(graph).applyInPandas(run, f"{graph} {kinds[graph]}, {node} {kinds[node]}, jam_15 double, jam_30 double, jam_60 double, congested double")

@@ -91,11 +91,24 @@ def asof(left: DataFrame, right: DataFrame, key: str, time: str, value: str, max
     return sided.withColumn("__last", last).filter("__side = 1").withColumn(value, F.when(young, F.col("__last." + value))).drop("__side", "__last")
 
 
-def features(jam10: Column, cur: Column, free: Column, hour: Column, dow: Column, ways: float = 1.0, tier: float = 2.0) -> Column:
-    """The numeric inputs of the short-horizon model but for the seasonal pair."""
+def features(jam10: Column, cur: Column, ratio: Column, reduction: Column, delay: Column, confidence: Column, ts: Column, ways: Column, tier: Column, daily: Column, weekly: Column) -> Column:
+    """The sixteen inputs of the short-horizon model; daily (96 quarters) and weekly (7 days) are a junction's seasons, null without any."""
+    hour, dow = F.hour(ts), F.weekday(ts)
     turn = lambda x, n: F.lit(2 * math.pi) * x / n
     flag = lambda c: c.cast("double")
-    return F.array(jam10 / 10, cur, free, cur / free, F.sin(turn(hour, 24)), F.cos(turn(hour, 24)), F.sin(turn(dow, 7)), F.cos(turn(dow, 7)), flag(dow.isin(4, 5)), flag(dow == 4), F.lit(ways), F.lit(tier))
+    or_ = lambda c, x: F.coalesce(c.cast("double"), F.lit(x))
+    season = lambda values, at: F.coalesce(F.get(values, at), F.lit(0.0))
+    return F.array(
+        or_(jam10, 0.0) / 10, or_(cur, 30.0), or_(ratio, 1.0), or_(reduction, 0.0), or_(delay, 0.0), or_(confidence, 0.8), F.sin(turn(hour, 24)), F.cos(turn(hour, 24)), F.sin(turn(dow, 7)), F.cos(turn(dow, 7)),
+        flag(dow.isin(4, 5)), flag(dow == 4), or_(ways, 3.0), or_(tier, 1.0), season(daily, hour * 4 + F.floor(F.minute(ts) / 15).cast("int")), season(weekly, dow),
+    )
+
+
+def seasons(readings: DataFrame) -> DataFrame:
+    """(junction, daily, weekly): the mean jam (0 to 1) of each quarter of an hour and of each weekday, 0 where there is none."""
+    rows = readings.select("junction", (F.col("jam10") / 10).alias("v"), (F.hour("ts") * 4 + F.floor(F.minute("ts") / 15)).cast("int").alias("q"), F.weekday("ts").alias("d"))
+    means = lambda by, n, name: rows.groupBy("junction", by).agg(F.avg("v").alias("m")).groupBy("junction").agg(F.map_from_entries(F.collect_list(F.struct(by, "m"))).alias("x")).select("junction", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.coalesce(F.try_element_at("x", k), F.lit(0.0))).alias(name))
+    return means("q", 96, "daily").join(means("d", 7, "weekly"), "junction")
 
 
 def decayed(hist: Column, current: Column, minutes: Column) -> Column:

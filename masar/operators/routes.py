@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from masar.functions import geo as G
+from masar.operators.lineage import cut
 
 
 def placed(rows: DataFrame, key: str) -> DataFrame:
@@ -36,16 +37,33 @@ def nearest(points: DataFrame, sites: DataFrame, point: str, site: str, max_km:
     return pairs.filter(F.col("km") <= max_km).groupBy(point).agg(F.min(F.struct("km", site)).alias("b")).select(point, F.col(f"b.{site}").alias(site), F.col("b.km").alias("km"))
 
 
-def nearest_k(sites: DataFrame, site: str, k: int, max_km: float) -> DataFrame:
-    """The k nearest other sites within the distance: (site, other, km, n)."""
-    step = max_km / 95.0
-    at = lambda c: F.floor(F.col(c) / step)
-    near = F.sequence(F.lit(-1), F.lit(1))
-    spread = sites.select(site, "lat", "lng", F.explode(near).alias("i")).select("*", F.explode(near).alias("j")).select(site, "lat", "lng", (at("lat") + F.col("i")).alias("cy"), (at("lng") + F.col("j")).alias("cx"))
-    there = sites.select(F.col(site).alias("other"), F.col("lat").alias("o_lat"), F.col("lng").alias("o_lng"), at("lat").alias("oy"), at("lng").alias("ox"))
-    pairs = spread.join(there, (F.col("cy") == F.col("oy")) & (F.col("cx") == F.col("ox")) & (F.col(site) != F.col("other"))).withColumn("km", G.haversine(F.col("lat"), F.col("lng"), F.col("o_lat"), F.col("o_lng")))
+def nearest_k(sites: DataFrame, site: str, k: int, max_km: float, cell: float = 0.01) -> DataFrame:
+    """The k nearest other sites within the distance: (site, other, km, n).
+
+    A site looks into the cells around its own, first the nearest ring, then rings of twice the width, until k others lie nearer than
+    anything beyond the ring can, or the ring covers the distance.  So pairs are made only of neighbours, however wide the distance is.
+    """
+    at = lambda c: F.floor(F.col(c) / cell)
+    all_of = cut(sites.select(F.col(site).alias("other"), F.col("lat").alias("o_lat"), F.col("lng").alias("o_lng"), at("lat").alias("oy"), at("lng").alias("ox")))
+    left = sites.select(site, "lat", "lng", at("lat").alias("y"), at("lng").alias("x"))
     order = Window.partitionBy(site).orderBy("km", "other")
-    return pairs.filter(F.col("km") <= max_km).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).select(site, "other", "km", "n")
+    done: DataFrame | None = None
+    width = 1
+    while True:
+        reach = F.sequence(F.lit(-width), F.lit(width))
+        spread = left.select("*", F.explode(reach).alias("i")).select("*", F.explode(reach).alias("j")).select(site, "lat", "lng", (F.col("y") + F.col("i")).alias("cy"), (F.col("x") + F.col("j")).alias("cx"))
+        pairs = spread.join(all_of, (F.col("cy") == F.col("oy")) & (F.col("cx") == F.col("ox")) & (F.col(site) != F.col("other"))).withColumn("km", G.haversine(F.col("lat"), F.col("lng"), F.col("o_lat"), F.col("o_lng")))
+        safe = width * cell * 95.0  # nothing outside the ring is nearer: a degree of longitude has 95 km here, one of latitude more
+        ranked = cut(pairs.filter(F.col("km") <= min(safe, max_km)).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).select(site, "other", "km", "n"))
+        if safe >= max_km:
+            return ranked if done is None else done.union(ranked)
+        full = ranked.filter(F.col("n") == k).select(site)
+        now = ranked.join(full, site, "left_semi")
+        done = now if done is None else done.union(now)
+        left = cut(left.join(full, site, "left_anti"))
+        if left.isEmpty():
+            return done
+        width *= 2
 
 
 def keep_by_gap(values: Column, gap: float) -> Column:

@@ -172,17 +172,6 @@ def details(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.join(table(spark, sf_dir, "part"), F.col("k") == F.col("p_partkey")).select("pid", "p_name")
 
 
-@query("cq_scan_route", f"""
-WITH r AS {READ}, h AS (SELECT junction, avg(jam10/10) AS h FROM r GROUP BY junction), p AS (SELECT event_id, junction, h + (cur/100 - h)*greatest(0, 1 - (value/10)/60) AS jam, value/10 AS lead FROM r JOIN h USING (junction)),
-d AS (SELECT event_id, junction, jam, lead, jam*5 AS delay FROM p WHERE jam >= 0.3 AND jam*5 >= 1)
-SELECT junction, count(*) AS alerts, round(sum(delay), 4) AS delay, CASE WHEN sum(delay) >= 15 THEN 'major' WHEN sum(delay) >= 5 THEN 'minor' ELSE 'none' END AS kind FROM d GROUP BY junction""")
-def scan_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir)
-    h = rows.groupBy("junction").agg(F.avg(F.col("jam10") / 10).alias("h"))
-    p = rows.join(h, "junction").withColumn("jam", R.decayed(F.col("h"), F.col("cur") / 100, F.col("value") / 10)).withColumn("delay", F.col("jam") * 5)
-    d = p.filter("jam >= 0.3 and delay >= 1").groupBy("junction").agg(F.count("*").alias("alerts"), F.sum("delay").alias("d"))
-    return d.select("junction", "alerts", F.round("d", 4).alias("delay"), F.when(F.col("d") >= 15, "major").when(F.col("d") >= 5, "minor").otherwise("none").alias("kind"))
-
 
 @query("cq_enrich", f"SELECT route, count(*) FILTER (WHERE lat BETWEEN 29.9 AND 30.1) AS inside, round(count(*) FILTER (WHERE lat BETWEEN 29.9 AND 30.1)/count(*)::DOUBLE, 6) AS coverage FROM {CUM} GROUP BY route")
 def enrich(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,7 +54,9 @@ def wav(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("fn_matmul_gcn_lstm")
 def inference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings of 64 numbers repeated to a window of 12 steps and 16 features; the weights are seeded."""
+    """Embeddings of 64 numbers repeated to a window of 12 steps and 16 features; eight neighbours are a graph, a ring; the weights are seeded."""
     window = F.flatten(F.array_repeat("embedding", 3))
-    e = table(spark, sf_dir, "embeddings").select("vec_id", window.alias("w"))
-    return N.predict(e, "vec_id", "w", N.seeded()).select("vec_id", *(F.round(c, 6).alias(c) for c in ("jam_15", "jam_30", "jam_60", "congested")))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 8).cast("long").alias("graph"), (F.col("vec_id") % 8).cast("int").alias("node"), window.alias("w"))
+    ring = {(k, (k + s) % 8): 1.0 for k in range(8) for s in (1, 7)}
+    p = N.predict_graphs(e, "graph", "node", "w", N.seeded(), ring, 8)
+    return p.select((F.col("graph") * 8 + F.col("node")).alias("vec_id"), *(F.round(c, 6).alias(c) for c in ("jam_15", "jam_30", "jam_60", "congested")))

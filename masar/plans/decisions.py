@@ -200,15 +200,6 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BEST = f"""(SELECT route, h, list_reduce(cs, lambda a, c: {{'e': a.e + 1800.0::DOUBLE/len(cs)*(1 + 1.5::DOUBLE*c[CAST(48 + floor((h*3600 + a.e + 900.0::DOUBLE/len(cs))/3600) % 24 AS BIGINT) + 1]), 'j': a.j + c[CAST(48 + floor((h*3600 + a.e + 900.0::DOUBLE/len(cs))/3600) % 24 AS BIGINT) + 1]}}, {{'e': 0::DOUBLE, 'j': 0::DOUBLE}}).j/len(cs) AS j FROM {_ROUTE}, range(5, 24) t(h))"""
 
 
-@query("cq_plan_drive", f"SELECT route, CAST(arg_min(h, (round(j, 9), h)) AS INTEGER) AS best_hour, round(min(1800*(1 + 1.5*j)), 3) AS best_sec, round(max(1800*(1 + 1.5*j)), 3) AS worst_sec FROM {_BEST} GROUP BY route")
-def plan_drive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every whole hour's prediction for each route, and the first best; slots within an hour start from the same lookup hour."""
-    slots = _routes(spark, sf_dir).select("route", "curves", F.explode(F.sequence(F.lit(5), F.lit(23))).alias("h"))
-    j = P.tier1(F.col("curves"), F.col("h"), F.lit(2), F.lit(1800.0))
-    s = slots.select("route", "h", j["jam"].alias("j"))
-    sec = 1800 * (1 + 1.5 * F.col("j"))
-    return s.groupBy("route").agg(F.min_by("h", F.struct(F.round("j", 9), "h")).alias("best_hour"), F.round(F.min(sec), 3).alias("best_sec"), F.round(F.max(sec), 3).alias("worst_sec"))
-
 
 @query("win_rank_routes", "SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS INTEGER) AS rank FROM orders")
 def rank_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -456,12 +447,6 @@ def trip_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("o_orderkey", F.round(F.coalesce("d", F.col("o_totalprice") / 10000 - 5) + 1e-9, 4).alias("delay"), F.when(F.col("d").isNull(), "enrich").otherwise("scan").alias("source"))
 
 
-@query("cq_route_compare", "WITH t AS (SELECT o_custkey, o_orderkey, sum(l_quantity*(1 + 1.5*l_discount)) AS m FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL) SELECT o_custkey, o_orderkey, round(m, 4) AS minutes, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY round(m, 4), o_orderkey) AS INTEGER) AS rank FROM t")
-def route_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    t = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "o_orderkey").agg(F.round(F.sum(F.col("l_quantity") * (1 + 1.5 * F.col("l_discount"))), 4).alias("minutes"))
-    return t.withColumn("rank", F.row_number().over(Window.partitionBy("o_custkey").orderBy("minutes", "o_orderkey")))
-
 
 @query("fn_prayer")
 def prayer(spark: SparkSession, sf_dir: str) -> DataFrame:

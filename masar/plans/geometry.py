@@ -280,30 +280,30 @@ def both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("gr_sssp_bounded", f"""
 WITH RECURSIVE e AS (SELECT * FROM {_EDGES}), p(node, sec, n) AS (SELECT 0::BIGINT, 0::DOUBLE, 0 UNION ALL
- SELECT src, min(p.sec + e.sec), n + 1 FROM p JOIN e ON e.dst = p.node WHERE p.sec + e.sec <= 15000 AND n < 8 GROUP BY src, n)
+ SELECT src, min(p.sec + e.sec), n + 1 FROM p JOIN e ON e.dst = p.node WHERE p.sec + e.sec <= 15000 AND n < 40 GROUP BY src, n)
 SELECT node, round(min(sec), 3) AS sec FROM p GROUP BY node""")
 def sssp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reverse travel times to node 0 within a bound, by frontiers; eight hops at most, as in the twin."""
-    return GR.bounded_reverse(edges(spark, sf_dir), 0, 15000.0, max_hops=8).select("node", F.round("sec", 3).alias("sec"))
+    """Reverse travel times to node 0 within a bound, by frontiers."""
+    return GR.bounded_reverse(edges(spark, sf_dir), 0, 15000.0).select("node", F.round("sec", 3).alias("sec"))
 
 
 @query("gr_upstream", f"""
 WITH RECURSIVE e AS (SELECT * FROM {_EDGES}), p(node, sec, n) AS (SELECT 0::BIGINT, 0::DOUBLE, 0 UNION ALL
- SELECT src, min(p.sec + e.sec), n + 1 FROM p JOIN e ON e.dst = p.node WHERE p.sec + e.sec <= 10000*1.25 + 60 AND n < 8 GROUP BY src, n),
+ SELECT src, min(p.sec + e.sec), n + 1 FROM p JOIN e ON e.dst = p.node WHERE p.sec + e.sec <= 10000*1.25 + 60 AND n < 40 GROUP BY src, n),
 b AS (SELECT node, min(sec) AS sec FROM p GROUP BY node)
 SELECT node, round(sec, 3) AS sec, round(abs(sec - 10000), 3) AS delta FROM b WHERE node <> 0 AND abs(sec - 10000) <= 2500""")
 def upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes whose travel time to the target is within a quarter of the wanted one."""
-    return GR.upstream(edges(spark, sf_dir), 0, 10000.0, 0.25, max_hops=8).select("node", F.round("sec", 3).alias("sec"), F.round("delta", 3).alias("delta"))
+    return GR.upstream(edges(spark, sf_dir), 0, 10000.0, 0.25).select("node", F.round("sec", 3).alias("sec"), F.round("delta", 3).alias("delta"))
 
 
 @query("join_feeders", f"""
 WITH RECURSIVE e AS (SELECT * FROM {_EDGES}), p(node, sec, n) AS (SELECT 0::BIGINT, 0::DOUBLE, 0 UNION ALL
- SELECT src, min(p.sec + e.sec), n + 1 FROM p JOIN e ON e.dst = p.node WHERE p.sec + e.sec <= 6000*1.25 + 60 AND n < 8 GROUP BY src, n),
+ SELECT src, min(p.sec + e.sec), n + 1 FROM p JOIN e ON e.dst = p.node WHERE p.sec + e.sec <= 6000*1.25 + 60 AND n < 40 GROUP BY src, n),
 b AS (SELECT node, min(sec) AS sec FROM p GROUP BY node)
 SELECT node, s_acctbal FROM b JOIN supplier ON s_suppkey = node WHERE node <> 0 AND abs(sec - 6000) <= 1500""")
 def feeders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    up = GR.upstream(edges(spark, sf_dir), 0, 6000.0, 0.25, max_hops=8)
+    up = GR.upstream(edges(spark, sf_dir), 0, 6000.0, 0.25)
     return up.join(table(spark, sf_dir, "supplier"), F.col("node") == F.col("s_suppkey")).select("node", "s_acctbal")
 
 

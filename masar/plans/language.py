@@ -92,10 +92,12 @@ def script_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("agg_idf", f"""
-WITH v AS (SELECT tok, count(DISTINCT doc_id) AS df FROM {TOKS} GROUP BY tok), n AS (SELECT count(*)::DOUBLE AS n FROM documents)
+WITH c AS (SELECT tok, count(DISTINCT doc_id) AS df, CASE WHEN (starts_with(tok, 'el') OR starts_with(tok, 'al')) AND length(tok) > 4 AND tok NOT IN ('alex', 'alexandria') THEN substr(tok, 3) END AS stem FROM {TOKS} GROUP BY tok),
+v AS (SELECT c.tok, greatest(c.df, coalesce(s.df, 0)) AS df FROM c LEFT JOIN c s ON s.tok = c.stem), n AS (SELECT count(*)::DOUBLE AS n FROM documents)
 SELECT tok, df, round(ln(1 + n/(1 + df))/ln(1 + n), 6) AS idf FROM v, n""")
 def idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.with_idf(S.vocabulary(words(spark, sf_dir)), table(spark, sf_dir, "documents").count()).select("tok", "df", F.round("idf", 6).alias("idf"))
+    once = normalized(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(X.tokens(F.col("norm")))).alias("tok"))
+    return S.with_idf(S.stemmed(S.vocabulary(once)), table(spark, sf_dir, "documents").count()).select("tok", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("join_postings_and", f"SELECT a.doc_id FROM (SELECT DISTINCT doc_id FROM {TOKS} WHERE tok = 'than') a JOIN (SELECT DISTINCT doc_id FROM {TOKS} WHERE tok = 'with') b USING (doc_id)")

@@ -199,14 +199,6 @@ def geojson_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@query("cq_plan_stream", "SELECT o_orderkey, CAST(floor(o_totalprice/100) AS INTEGER) AS seconds, CASE WHEN o_totalprice/100000 < 1.075 THEN 'FREE' WHEN o_totalprice/100000 < 1.16 THEN 'LIGHT' WHEN o_totalprice/100000 < 1.275 THEN 'MODERATE' WHEN o_totalprice/100000 < 1.4 THEN 'HIGH' ELSE 'VERY_HIGH' END AS level FROM orders")
-def plan_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jam = (F.col("o_totalprice") / 100000 - 1) / 0.5
-    ratio = F.col("o_totalprice") / 100000
-    level = F.when(ratio < 1.075, "FREE").when(ratio < 1.16, "LIGHT").when(ratio < 1.275, "MODERATE").when(ratio < 1.4, "HIGH").otherwise("VERY_HIGH")
-    return table(spark, sf_dir, "orders").withColumn("jam", jam).select("o_orderkey", F.floor(F.col("o_totalprice") / 100).cast("int").alias("seconds"), level.alias("level"))
-
-
 @query("cq_derive_junctions", f"SELECT c_custkey, arg_min(s_suppkey, (d, s_suppkey)) AS s_suppkey FROM (SELECT c_custkey, s_suppkey, {hav('(c.lat + 30.05)/2', '(c.lng + 31.25)/2', 's.lat', 's.lng')} AS d FROM {CUS} c, {SUP} s) WHERE d <= 2.5 GROUP BY c_custkey")
 def derive_junctions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The middle of the straight line to a centre, matched to the nearest junction."""
@@ -214,12 +206,6 @@ def derive_junctions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.nearest(middle, suppliers(spark, sf_dir), "c_custkey", "s_suppkey", 2.5).select("c_custkey", "s_suppkey")
 
 
-@query("cq_plan_departure", "WITH s AS (SELECT user_id, CAST(hour(ts) AS INTEGER) AS h, avg(value) AS v FROM events GROUP BY ALL) SELECT user_id, CAST(arg_min(h, (v, h)) AS INTEGER) AS leave, round(arg_min(v, h) - min(v), 6) AS saving FROM s GROUP BY user_id")
-def plan_departure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best slot, and what it saves against the first."""
-    s = table(spark, sf_dir, "events").groupBy("user_id", F.hour("ts").alias("h")).agg(F.avg("value").alias("v"))
-    return s.groupBy("user_id").agg(F.min_by("h", F.struct("v", "h")).alias("leave"), F.round(F.min_by("v", "h") - F.min("v"), 6).alias("saving"))
-
 
 @query("cq_prayers")
 def prayers(spark: SparkSession, sf_dir: str) -> DataFrame:

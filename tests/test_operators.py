@@ -4,6 +4,7 @@ import json
 import random
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,3 +207,54 @@ def test_sinks(spark, tmp_path):
     new = spark.createDataFrame([(2, "b", 1), (4, "c", 1)], "id int, day string, v int")
     assert sorted(r["id"] for r in sinks.upserted(rows, new, "id", "v").collect()) == [1, 2, 4]
     assert json.loads(sinks.lines(rows, "slot").first()[0])["type"] == "slot"
+
+
+def test_graph_convolution_by_hand(spark):
+    """Two nodes joined by an edge of weight 1: each layer mixes halves, and a node of noughts still gets its neighbour's."""
+    w = N.seeded(3)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(2, N.STEPS, N.FEATURES))
+
+    def by_hand(x):
+        for m in w.conv:
+            y = x @ m
+            x = np.maximum(np.stack([(y[0] + y[1]) / 2, (y[0] + y[1]) / 2]), 0)
+        return x
+
+    same, _ = N.infer(x, w, N.normalised(np.array([[0.0, 1.0], [1.0, 0.0]])))
+    plain = N.Weights((np.eye(N.EMBEDDED),) * 2, w.lstm, w.jam, w.level)
+    alone, _ = N.infer(by_hand(x), plain)
+    assert np.allclose(same, alone) and w.conv[0].shape == (16, 64) and w.conv[1].shape == (64, 32) and [m.shape for m, _ in w.jam] == [(128, 256), (256, 128), (128, 3)]
+    d = spark.createDataFrame([("g", 0, x[0].ravel().tolist()), ("g", 1, x[1].ravel().tolist()), ("h", 1, x[1].ravel().tolist()), ("h", 0, [0.0])], "g string, n int, w array<double>")
+    got = {(r["g"], r["n"]): r["jam_15"] for r in N.predict_graphs(d, "g", "n", "w", w, {(0, 1): 1.0, (1, 0): 1.0}, 2).collect()}
+    assert set(got) == {("g", 0), ("g", 1), ("h", 1)} and np.isclose(got["g", 0], same[0, 0])
+    half, _ = N.infer(np.stack([np.zeros_like(x[1]), x[1]]), w, N.normalised(np.array([[0.0, 1.0], [1.0, 0.0]])))
+    assert np.isclose(got["h", 1], half[1, 0])
+
+
+def test_nearest_k_by_rings(spark):
+    from masar.operators import routes as O
+
+    rng = np.random.default_rng(2)
+    sites = [(k, 30 + float(a), 31 + float(b)) for k, (a, b) in enumerate(rng.normal(0, 0.05, (120, 2)))] + [(1000, 30.6, 31.6)]
+    d = spark.createDataFrame(sites, "s long, lat double, lng double")
+    got = {}
+    for r in O.nearest_k(d, "s", 4, 60.0).collect():
+        got.setdefault(r["s"], []).append((r["n"], r["other"]))
+
+    def km(a, b):
+        p, q = np.radians(a[1]), np.radians(b[1])
+        h = np.sin((q - p) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin(np.radians(b[2] - a[2]) / 2) ** 2
+        return 2 * 6371 * np.arcsin(np.sqrt(h))
+
+    for a in sites:
+        near = sorted((km(a, b), b[0]) for b in sites if b[0] != a[0] and km(a, b) <= 60)[:4]
+        assert [o for _, o in sorted(got.get(a[0], []))] == [o for _, o in near]
+
+
+def test_null_keys_keep_their_state(spark):
+    from masar.operators import admission as A
+
+    rows = spark.createDataFrame([(None, k, float(k) / 100) for k in range(6)] + [(5, k, float(k) / 100) for k in range(6)], "key long, id int, t double")
+    got = A.fold(rows, "key", ["t"], ["t"], A.token_bucket(1.0, 2.0), "id", "ok", "boolean").collect()
+    assert sum(r["ok"] for r in got if r["key"] is None) == 2 == sum(r["ok"] for r in got if r["key"] == 5)
