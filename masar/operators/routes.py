@@ -66,6 +66,27 @@ def nearest_k(sites: DataFrame, site: str, k: int, max_km: float, cell: float =
         width *= 2
 
 
+def near_pairs(vertices: DataFrame, places: DataFrame, max_km: float) -> DataFrame:
+    """Vertices (lat, lng) with the places (a, b) within the distance, and km: both meet in cells as wide as it."""
+    step = max_km / 95.0
+    at = lambda c: F.floor(F.col(c) / step)
+    around = F.sequence(F.lit(-1), F.lit(1))
+    spread = places.withColumn("i", F.explode(around)).withColumn("j", F.explode(around)).withColumns({"cy": at("a") + F.col("i"), "cx": at("b") + F.col("j")}).drop("i", "j")
+    pairs = vertices.withColumns({"vy": at("lat"), "vx": at("lng")}).join(spread, (F.col("vy") == F.col("cy")) & (F.col("vx") == F.col("cx"))).drop("vy", "vx", "cy", "cx")
+    return pairs.withColumn("km", G.haversine(F.col("lat"), F.col("lng"), F.col("a"), F.col("b"))).filter(F.col("km") <= max_km)
+
+
+def interposed(points: DataFrame, route: str, most_km: float) -> DataFrame:
+    """The vertices of routes (pos, cum, lat, lng) with others between, evenly, so that none is farther than that from the next: route, pos, step, lat, lng."""
+    by = Window.partitionBy(route).orderBy("cum", "pos")
+    legs = points.withColumns({"n_cum": F.lead("cum").over(by), "n_lat": F.lead("lat").over(by), "n_lng": F.lead("lng").over(by)})
+    n = F.when(F.col("n_cum") > F.col("cum"), F.ceil((F.col("n_cum") - F.col("cum")) / most_km)).otherwise(1).cast("long")
+    rows = legs.withColumn("n", n).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("step"))
+    t = F.col("step") / F.col("n")
+    toward = lambda c: F.col(c) + t * (F.coalesce(f"n_{c}", c) - F.col(c))
+    return rows.select(route, "pos", "step", toward("lat").alias("lat"), toward("lng").alias("lng"))
+
+
 def keep_by_gap(values: Column, gap: float) -> Column:
     """Of ascending numbers those that lie the gap or more after the last kept one."""
     return F.aggregate(values, F.array().cast("array<double>"), lambda kept, x: F.when((F.size(kept) == 0) | (x - F.element_at(kept, -1) >= gap), F.concat(kept, F.array(x))).otherwise(kept))

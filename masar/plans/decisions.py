@@ -408,11 +408,15 @@ def detours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.greatest(F.lit(0.0), F.col("l_extendedprice") - F.col("l_quantity") * 1000), 4).alias("added"))
 
 
-@query("fn_minmax_scaler", "SELECT vec_id, round((x - lo)/(hi - lo), 6) AS scaled FROM (SELECT vec_id, embedding[1]::DOUBLE AS x, min(embedding[1]::DOUBLE) OVER () AS lo, max(embedding[1]::DOUBLE) OVER () AS hi FROM embeddings)")
+@query("fn_minmax_scaler", """
+WITH x AS (SELECT vec_id, unnest(range(len(embedding))) AS k, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), e AS (SELECT k, min(x) AS lo, max(x) AS hi FROM x GROUP BY k)
+SELECT vec_id, list(round(CASE WHEN hi > lo THEN (x - lo)/(hi - lo) ELSE 0 END, 6) ORDER BY k) AS scaled FROM x JOIN e USING (k) GROUP BY vec_id""")
 def scaler(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.get("embedding", F.lit(0)).cast("double").alias("x"))
-    ends = e.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    return e.join(F.broadcast(ends)).select("vec_id", F.round((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")), 6).alias("scaled"))  # one row
+    """Every dimension between its least and its greatest."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    ends = e.select(F.posexplode("x").alias("k", "v")).groupBy("k").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).agg(F.array_sort(F.collect_list(F.struct("k", "lo", "hi"))).alias("ends"))
+    unit = lambda v, r: F.when(r["hi"] > r["lo"], (v - r["lo"]) / (r["hi"] - r["lo"])).otherwise(0.0)
+    return e.join(F.broadcast(ends)).select("vec_id", F.zip_with("x", "ends", lambda v, r: F.round(unit(v, r), 6)).alias("scaled"))  # one row, of a number for each dimension
 
 
 @query("sink_ndjson", "SELECT o_orderkey, '{\"type\":\"slot\",\"k\":' || o_orderkey || ',\"status\":\"' || o_orderstatus || '\"}' AS line FROM orders")
@@ -445,11 +449,3 @@ def trip_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.sum(F.col("l_tax") * 100).alias("d"))
     j = table(spark, sf_dir, "orders").join(s, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     return j.select("o_orderkey", F.round(F.coalesce("d", F.col("o_totalprice") / 10000 - 5) + 1e-9, 4).alias("delay"), F.when(F.col("d").isNull(), "enrich").otherwise("scan").alias("source"))
-
-
-
-@query("fn_prayer")
-def prayer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The six times of each order's date in the middle of the city."""
-    d = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
-    return d.select("day", *P.prayer_columns(F.col("day"), F.lit(30.05), F.lit(31.25), F.lit(2.0)))

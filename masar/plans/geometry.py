@@ -75,10 +75,10 @@ def tile_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_nationkey", F.round(G.tile_west(n, 5), 6).alias("west"), F.round(G.tile_north(n, 5), 6).alias("north"))
 
 
-@query("fn_tile_latlon", "SELECT n_nationkey, round(-180 + (n_nationkey*100/4096.0::DOUBLE)*11.25, 6) AS lng FROM nation")
+@query("fn_tile_latlon", "SELECT n_nationkey, round(-180 + (n_nationkey + 0.25)/32.0::DOUBLE*360, 6) AS lng, round(degrees(atan((exp(pi()*(1 - 2*(12 + 0.75)/32.0::DOUBLE)) - exp(-pi()*(1 - 2*(12 + 0.75)/32.0::DOUBLE)))/2)), 6) AS lat FROM nation")
 def tile_latlon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    west, east = G.tile_west(F.lit(0), 5), G.tile_west(F.lit(1), 5)
-    return table(spark, sf_dir, "nation").select("n_nationkey", F.round(west + F.col("n_nationkey") * 100 / 4096.0 * (east - west), 6).alias("lng"))
+    """Where a place within a tile lies: a quarter from the west and three from the north."""
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.round(G.tile_west(F.col("n_nationkey") + 0.25, 5), 6).alias("lng"), F.round(G.tile_north(F.lit(12.75), 5), 6).alias("lat"))
 
 
 @query("fn_bbox_buffer", f"""
@@ -163,42 +163,42 @@ def dedupe_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("win_resample_2km", f"""
 WITH l AS (SELECT route, cum, lat, lng, lead(cum) OVER w AS c2, lead(lat) OVER w AS a2, lead(lng) OVER w AS b2 FROM {CUM} WINDOW w AS (PARTITION BY route ORDER BY cum, pos)),
-k AS (SELECT *, unnest(generate_series(CAST(ceil(cum/20) AS BIGINT), CAST(ceil(c2/20) AS BIGINT) - 1)) AS k FROM l WHERE c2 > cum)
-SELECT route, k, round(lat + (k*20 - cum)/(c2 - cum)*(a2 - lat), 6) AS lat, round(lng + (k*20 - cum)/(c2 - cum)*(b2 - lng), 6) AS lng FROM k""")
+k AS (SELECT *, unnest(generate_series(CAST(ceil(cum/2) AS BIGINT), CAST(ceil(c2/2) AS BIGINT) - 1)) AS k FROM l WHERE c2 > cum)
+SELECT route, k, round(lat + (k*2 - cum)/(c2 - cum)*(a2 - lat), 6) AS lat, round(lng + (k*2 - cum)/(c2 - cum)*(b2 - lng), 6) AS lng FROM k""")
 def resample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equidistant points along each route; 20 km stand for 2 here, as routes cross the whole box."""
-    return O.densified(along(spark, sf_dir), "route", 20.0).select("route", "k", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))
+    """A point every 2 km along each route."""
+    return O.densified(along(spark, sf_dir), "route", 2.0).select("route", "k", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))
 
 
 @query("win_rings", f"""
-WITH l AS (SELECT route, cum, lead(cum) OVER (PARTITION BY route ORDER BY cum, pos) AS c2 FROM {CUM})
-SELECT route, count(*) AS rings FROM (SELECT route, unnest(generate_series(CAST(ceil(cum/3) AS BIGINT), CAST(ceil(c2/3) AS BIGINT) - 1)) AS k FROM l WHERE c2 > cum) WHERE k*3 <= 60 GROUP BY route""")
+WITH l AS (SELECT route, cum, lat, lng, lead(cum) OVER w AS c2, lead(lat) OVER w AS a2, lead(lng) OVER w AS b2 FROM {CUM} WINDOW w AS (PARTITION BY route ORDER BY cum, pos))
+SELECT route, k, round(lat + (k*3 - cum)/(c2 - cum)*(a2 - lat), 6) AS lat, round(lng + (k*3 - cum)/(c2 - cum)*(b2 - lng), 6) AS lng FROM (SELECT *, unnest(generate_series(CAST(ceil(cum/3) AS BIGINT), CAST(ceil(c2/3) AS BIGINT) - 1)) AS k FROM l WHERE c2 > cum) WHERE k*3 <= 60""")
 def rings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.densified(along(spark, sf_dir), "route", 3.0).filter("km <= 60").groupBy("route").agg(F.count("*").alias("rings"))
+    """The centres of search rings: a point every 3 km of the first 60."""
+    return O.densified(along(spark, sf_dir), "route", 3.0).filter("km <= 60").select("route", "k", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))
 
 
 @query("win_densify", f"""
-WITH l AS (SELECT route, cum, lead(cum) OVER (PARTITION BY route ORDER BY cum, pos) AS c2 FROM {CUM})
-SELECT route, CAST(sum(ceil((c2 - cum)/0.4) - 1) AS BIGINT) AS added FROM l WHERE c2 > cum GROUP BY route""")
+WITH l AS (SELECT route, pos, cum, lat, lng, lead(cum) OVER w AS c2, lead(lat) OVER w AS a2, lead(lng) OVER w AS b2 FROM {CUM} WINDOW w AS (PARTITION BY route ORDER BY cum, pos)),
+n AS (SELECT *, CAST(CASE WHEN c2 > cum THEN ceil((c2 - cum)/0.4) ELSE 1 END AS BIGINT) AS n FROM l)
+SELECT route, pos, step, round(lat + step/n::DOUBLE*(coalesce(a2, lat) - lat), 6) AS lat, round(lng + step/n::DOUBLE*(coalesce(b2, lng) - lng), 6) AS lng FROM (SELECT *, unnest(range(n)) AS step FROM n)""")
 def densify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many vertices are put between so that none is over 400 m from the next."""
-    by = Window.partitionBy("route").orderBy("cum", "pos")
-    legs = along(spark, sf_dir).withColumn("d", F.lead("cum").over(by) - F.col("cum")).filter("d > 0")
-    return legs.groupBy("route").agg(F.sum(F.ceil(F.col("d") / 0.4) - 1).cast("long").alias("added"))
+    """The vertices of a route with others put between, so that none is over 400 m from the next."""
+    return O.interposed(along(spark, sf_dir), "route", 0.4).select("route", F.col("pos").cast("long").alias("pos"), "step", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))
 
 
-@query("win_greedy_min_gap")
+@query("win_greedy_min_gap", f"SELECT route, len(list_reduce(list_transform(list(cum ORDER BY cum), lambda x: [x]), lambda a, x: CASE WHEN x[1] - a[len(a)] >= 15.0 THEN list_concat(a, x) ELSE a END)) AS kept FROM {CUM} GROUP BY route")
 def greedy_min_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = along(spark, sf_dir).groupBy("route").agg(F.array_sort(F.collect_list("cum")).alias("cums"))
-    return lists.select("route", F.size(O.keep_by_gap(F.col("cums"), 15.0)).alias("kept"))
+    return lists.select("route", F.size(O.keep_by_gap(F.col("cums"), 15.0)).cast("long").alias("kept"))
 
 
-@query("win_greedy_spacing")
+@query("win_greedy_spacing", f"SELECT route, len(list_reduce(list_transform(list(CAST(pos AS DOUBLE) ORDER BY pos), lambda x: [x]), lambda a, x: CASE WHEN x[1] - a[len(a)] >= greatest(1.0, n/20.0) AND len(a) < 10 THEN list_concat(a, x) ELSE a END)) AS kept FROM (SELECT *, count(*) OVER (PARTITION BY route) AS n FROM {PTS}) GROUP BY route, n")
 def greedy_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By places in the route: a gap of a twentieth of its length, ten points at most."""
     lists = points(spark, sf_dir).groupBy("route").agg(F.array_sort(F.collect_list(F.col("pos").cast("double"))).alias("ps"), F.count("*").alias("n"))
     kept = F.aggregate("ps", F.array().cast("array<double>"), lambda a, x: F.when((F.size(a) == 0) | ((x - F.element_at(a, -1) >= F.greatest(F.lit(1.0), F.col("n") / 20)) & (F.size(a) < 10)), F.concat(a, F.array(x))).otherwise(a))
-    return lists.select("route", F.size(kept).alias("kept"))
+    return lists.select("route", F.size(kept).cast("long").alias("kept"))
 
 
 @query("win_sample_evenly", f"SELECT route, list(pos ORDER BY pos) FILTER (WHERE (pos - 1) % greatest(1, n // 3) = 0) AS picked FROM (SELECT route, CAST(pos AS INTEGER) AS pos, count(*) OVER (PARTITION BY route) AS n FROM {PTS}) GROUP BY route")
@@ -208,19 +208,27 @@ def sample_evenly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("route").agg(F.array_sort(F.collect_list("pos")).alias("picked"))
 
 
-@query("win_line_points", f"SELECT s_suppkey, CAST(greatest(2, CAST(floor({hav('lat', 'lng', '30.05', '31.25')}/1.5) AS INTEGER) + 1) AS INTEGER) AS n FROM {SUP}")
+@query("win_line_points", f"""
+WITH n AS (SELECT s_suppkey, lat, lng, greatest(2, CAST(floor({hav('lat', 'lng', '30.05', '31.25')}/1.5) AS BIGINT) + 1) AS n FROM {SUP})
+SELECT s_suppkey, k, round(lat + k/(n - 1)::DOUBLE*(30.05 - lat), 6) AS lat, round(lng + k/(n - 1)::DOUBLE*(31.25 - lng), 6) AS lng FROM (SELECT *, unnest(range(n)) AS k FROM n)""")
 def line_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of the straight line from each junction to the city's middle, some 1.5 km apart, both ends included."""
     d = G.haversine(F.col("lat"), F.col("lng"), F.lit(30.05), F.lit(31.25))
-    return suppliers(spark, sf_dir).select("s_suppkey", F.greatest(F.lit(2), (d / 1.5).cast("int") + 1).alias("n"))
+    rows = suppliers(spark, sf_dir).withColumn("n", F.greatest(F.lit(2), F.floor(d / 1.5) + 1))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
+    t = F.col("k") / (F.col("n") - 1)
+    return rows.select("s_suppkey", "k", F.round(F.col("lat") + t * (30.05 - F.col("lat")), 6).alias("lat"), F.round(F.col("lng") + t * (31.25 - F.col("lng")), 6).alias("lng"))
 
 
 @query("join_point_polyline", f"""
-WITH d AS (SELECT route, pos, cum, {hav('lat', 'lng', '30.05', '31.25')} AS km FROM {CUM})
-SELECT route, CAST(arg_min(pos, (km, pos)) AS BIGINT) AS pos, round(arg_min(cum, (km, pos)), 5) AS along FROM d GROUP BY route""")
+WITH c AS (SELECT s_suppkey, lat AS a, lng AS b FROM {SUP} WHERE s_suppkey % 50 = 7), d AS (SELECT s_suppkey, route, pos, cum, {hav('lat', 'lng', 'a', 'b')} AS km FROM {CUM}, c)
+SELECT s_suppkey, route, CAST(arg_min(pos, (km, pos)) AS BIGINT) AS pos, round(arg_min(cum, (km, pos)), 5) AS along FROM d WHERE km <= 1 GROUP BY s_suppkey, route""")
 def point_polyline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = along(spark, sf_dir).withColumn("km", G.haversine(F.col("lat"), F.col("lng"), F.lit(30.05), F.lit(31.25)))
-    best = d.groupBy("route").agg(F.min(F.struct("km", "pos", "cum")).alias("b"))
-    return best.select("route", F.col("b.pos").cast("long").alias("pos"), F.round("b.cum", 5).alias("along"))
+    """For some places, each route that passes within a kilometre, by its nearest vertex; vertices and places meet in cells of the map."""
+    c = suppliers(spark, sf_dir).filter("s_suppkey % 50 = 7").select("s_suppkey", F.col("lat").alias("a"), F.col("lng").alias("b"))
+    near = O.near_pairs(along(spark, sf_dir), c, 1.0)
+    best = near.groupBy("s_suppkey", "route").agg(F.min(F.struct("km", "pos", "cum")).alias("b"))
+    return best.select("s_suppkey", "route", F.col("b.pos").cast("long").alias("pos"), F.round("b.cum", 5).alias("along"))
 
 
 @query("fn_nearest_vertex", f"WITH d AS (SELECT route, pos, {hav('lat', 'lng', '30.05', '31.25', '6371000.0::DOUBLE')} AS m FROM {PTS}), v AS (SELECT route, arg_min(pos, (m, pos)) AS near, max(pos) AS n FROM d GROUP BY route) SELECT route, CAST(n - near + 1 AS BIGINT) AS remaining FROM v")

@@ -125,7 +125,16 @@ def jam_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", L.jam_adaptive(F.col("p_size"), F.lit(20)).alias("jam"))
 
 
-@query("fn_sun")
+_DAY = "datediff('day', DATE '2000-01-01', day)"
+
+
+def _sun_sql(days: str) -> str:
+    """(declination in degrees, equation of time in hours) as columns de and eq of a subquery over days."""
+    return f"""(SELECT *, degrees(asin(sin(tilt)*sin(lam))) AS de, ((q/15 - ((degrees(atan2(cos(tilt)*sin(lam), cos(lam)))/15) % 24 + 24) % 24 + 12) % 24 + 24) % 24 - 12 AS eq FROM
+ (SELECT *, radians((q + 1.915*sin(g) + 0.020*sin(2*g)) % 360) AS lam, radians(23.439 - 0.00000036*days) AS tilt FROM (SELECT *, radians((357.529 + 0.98560028*days) % 360) AS g, (280.459 + 0.98564736*days) % 360 AS q FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day, {days} AS days FROM (SELECT o_orderdate, CAST(o_orderdate AS DATE) AS day FROM orders)))))"""
+
+
+@query("fn_sun", f"SELECT day, round(de, 4) AS declination, round(eq, 5) AS equation FROM {_sun_sql(f'CAST({_DAY} AS DOUBLE)')}")
 def sun(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
     declination, eqt = P.sun(F.datediff("day", F.lit("2000-01-01").cast("date")).cast("double"))
@@ -207,14 +216,34 @@ def derive_junctions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@query("cq_prayers")
+def _prayers_sql() -> str:
+    noon, la, cosine = "(12 + 2 - 31.25/15 - eq)", "radians(30.05)", "cos(radians(30.05))*cos(radians(de))"
+    hours = lambda alt: f"degrees(acos((sin(radians({alt})) - sin({la})*sin(radians(de)))/({cosine})))/15"
+    asr = "degrees(atan(1/(1 + tan(radians(abs(30.05 - de))))))"
+    cols = {"fajr": f"{noon} - {hours(-P.FAJR_ANGLE)}", "sunrise": f"{noon} - {hours(-P.SUNSET_ANGLE)}", "dhuhr": noon, "asr": f"{noon} + {hours(asr)}", "maghrib": f"{noon} + {hours(-P.SUNSET_ANGLE)}", "isha": f"{noon} + {hours(-P.ISHA_ANGLE)}"}
+    return f"(SELECT day, {', '.join(f'round({v}, 4) AS {k}' for k, v in cols.items())} FROM {_sun_sql(f'{_DAY} - 31.25/360')})"
+
+
+PRAYERS = _prayers_sql()
+
+
+@query("fn_prayer", f"SELECT * FROM {PRAYERS}")
+def prayer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The six times of each order's date in the middle of the city."""
+    d = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
+    return d.select("day", *P.prayer_columns(F.col("day"), F.lit(30.05), F.lit(31.25), F.lit(2.0)))
+
+
+
+@query("cq_prayers", f"""
+WITH t AS (SELECT p.*, n.fajr AS next_fajr, (p.day - DATE '1990-01-01') * 7 % 24 AS now FROM {PRAYERS} p LEFT JOIN {PRAYERS} n ON n.day = p.day + 1)
+SELECT day, CASE WHEN now < fajr THEN 'fajr' WHEN now < dhuhr THEN CASE WHEN isodow(day) = 5 THEN 'jumuah' ELSE 'dhuhr' END WHEN now < asr THEN 'asr' WHEN now < maghrib THEN 'maghrib' WHEN now < isha THEN 'isha' ELSE 'fajr' END AS next, now >= isha AS tomorrow FROM t""")
 def prayers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The next prayer after each order date's noon, and on Fridays the name of the noon prayer."""
+    """The next prayer after some hour of each order's date, tomorrow's first after the last; on Fridays the noon prayer has a name of its own."""
     d = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
     t = d.select("day", *P.prayer_columns(F.col("day"), F.lit(30.05), F.lit(31.25), F.lit(2.0)))
-    upcoming = F.when(F.col("dhuhr") > 12, F.when(F.weekday("day") == 4, "jumuah").otherwise("dhuhr")).otherwise("asr")
-    return t.select("day", upcoming.alias("next"))
-
+    now = F.datediff("day", F.lit("1990-01-01").cast("date")) * 7 % 24
+    return t.select("day", P.next_prayer(F.col("day"), now).alias("n")).select("day", "n.*")
 
 
 @query("cq_along_pois", f"WITH k AS (SELECT route, min(cum) FILTER (WHERE {hav('lat', 'lng', '30.05', '31.25')} <= 5) AS a, count(*) AS n FROM {CUM} GROUP BY route) SELECT route, CASE WHEN a IS NULL THEN 'fallback' ELSE 'index' END AS source FROM k")
