@@ -43,20 +43,6 @@ def clock_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", Z.spoken_clock(F.hour("ts") * 60 + F.minute("ts")).alias("said"))
 
 
-@query("tx_name_match", "SELECT p_partkey, CASE WHEN contains(p_name, 'small ring') OR contains('small ring', p_name) THEN 'strong' WHEN len(list_intersect(string_split(p_name, ' '), ['small', 'ring']))*2 >= 2 THEN 'weak' ELSE 'none' END AS match FROM part")
-def name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", Z.name_match(F.lit("small ring"), F.col("p_name")).alias("match"))
-
-
-@query("tx_notification", f"""
-WITH r AS {READ}, a AS (SELECT event_id, event_type, CAST(floor(cur/2) AS INTEGER) AS d, CASE WHEN jam10 >= 8 THEN 'CRITICAL' WHEN jam10 >= 5.5 THEN 'SERIOUS' WHEN jam10 >= 3.2 THEN 'WARNING' WHEN jam10 >= 1.5 THEN 'ADVISORY' ELSE 'FREE' END AS l FROM r)
-SELECT event_id, CASE event_type WHEN 'view' THEN l || ' traffic to Home: +' || d || ' min' WHEN 'click' THEN 'Getting worse to Home: +' || d || ' min' WHEN 'error' THEN 'Clearing up to Home' END AS said FROM a""")
-def notification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.when(F.col("event_type") == "view", "new").when(F.col("event_type") == "click", "escalation").when(F.col("event_type") == "error", "improvement")
-    said = Z.notification(kind, L.level_jam10(F.col("jam10")), F.floor(F.col("cur") / 2).cast("int"), F.lit("Home"))
-    return read(spark, sf_dir).select("event_id", said.alias("said"))
-
-
 
 @query("prj_context", "SELECT o_orderkey, concat_ws(chr(10), 'Status: ' || o_orderstatus, CASE WHEN o_totalprice > 100000 THEN 'Price: ' || CAST(floor(o_totalprice) AS BIGINT) END, 'Priority: ' || o_orderpriority) AS block FROM orders")
 def context(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from masar.plans import assistant, codecs, decisions, feedqueries, geometry, language, linkqueries, placequeries, rest, talk, traffic, tripqueries  # noqa: F401  registers their queries
+from masar.plans import assistant, codecs, decisions, feedqueries, geometry, language, linkqueries, placequeries, rest, stopqueries, talk, traffic, tripqueries  # noqa: F401  registers their queries
 from masar.plans.registry import ORACLES, QUERIES, Query
 
 

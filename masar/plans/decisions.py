@@ -301,32 +301,6 @@ def duration_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.regexp_extract(text, "^([0-9]+)s$", 1).try_cast("int"), F.lit(-1)).alias("seconds"))
 
 
-@query("cq_switch", "SELECT l_orderkey, arg_min(l_linenumber, (l_tax - l_discount, l_linenumber, l_partkey)) AS pick, min(l_tax - l_discount) >= 0 AS already FROM lineitem GROUP BY l_orderkey")
-def switch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fastest alternative, unless none is faster than now."""
-    delta = F.col("l_tax") - F.col("l_discount")
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min_by("l_linenumber", F.struct(delta, "l_linenumber", "l_partkey")).alias("pick"), (F.min(delta) >= 0).alias("already"))
-
-
-@query("cq_stop_policy", "SELECT p_partkey, CASE WHEN p_name LIKE 'small%' THEN 'reject' WHEN p_size > 40 THEN 'too_far' WHEN p_size <= 8 AND p_retailprice > 1000 THEN 'auto' ELSE 'ask' END AS action FROM part")
-def stop_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    strong = F.col("p_retailprice") > 1000
-    action = F.when(F.col("p_name").startswith("small"), "reject").when(F.col("p_size") > 40, "too_far").when((F.col("p_size") <= 8) & strong, "auto").otherwise("ask")
-    return table(spark, sf_dir, "part").select("p_partkey", action.alias("action"))
-
-
-@query("cq_remove_stop", "SELECT l_orderkey, CASE WHEN count(*) FILTER (WHERE l_returnflag = 'R') = 1 THEN max(l_linenumber) FILTER (WHERE l_returnflag = 'R') ELSE -1 END AS gone FROM lineitem GROUP BY l_orderkey")
-def remove_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The one stop that matches; with none or several the caller asks."""
-    hit = F.col("l_returnflag") == "R"
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.when(F.count_if(hit) == 1, F.max(F.when(hit, F.col("l_linenumber")))).otherwise(-1).alias("gone"))
-
-
-@query("join_alt_match", "SELECT l_orderkey, CASE WHEN count(*) = 1 THEN min(l_partkey) ELSE -1 END AS part FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_name LIKE '%ring%' GROUP BY l_orderkey")
-def alt_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").filter(F.col("p_name").contains("ring"))
-    return li.join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey").agg(F.when(F.count("*") == 1, F.min("l_partkey")).otherwise(F.lit(-1)).alias("part"))
-
 
 @query("join_anti_stale", "SELECT DISTINCT s_nationkey FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
 def anti_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -403,11 +377,6 @@ def group_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@query("cq_detours", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(greatest(0, l_extendedprice - l_quantity*1000), 4) AS added FROM lineitem")
-def detours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.greatest(F.lit(0.0), F.col("l_extendedprice") - F.col("l_quantity") * 1000), 4).alias("added"))
-
-
 @query("fn_minmax_scaler", """
 WITH x AS (SELECT vec_id, unnest(range(len(embedding))) AS k, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), e AS (SELECT k, min(x) AS lo, max(x) AS hi FROM x GROUP BY k)
 SELECT vec_id, list(round(CASE WHEN hi > lo THEN (x - lo)/(hi - lo) ELSE 0 END, 6) ORDER BY k) AS scaled FROM x JOIN e USING (k) GROUP BY vec_id""")

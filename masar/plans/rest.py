@@ -163,26 +163,9 @@ def is_arabic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@query("tx_brand", "SELECT p_partkey, CASE WHEN p_brand IN ('Brand#1', 'Brand#2') THEN 'house' WHEN p_brand LIKE 'Brand#1%' THEN 'partner' ELSE 'other' END AS brand FROM part")
-def brand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = F.col("p_brand")
-    return table(spark, sf_dir, "part").select("p_partkey", F.when(b.isin("Brand#1", "Brand#2"), "house").when(b.startswith("Brand#1"), "partner").otherwise("other").alias("brand"))
-
-
 _KINDS = {"ring": "jewel", "plate": "dish", "box": "store"}
 
 
-@query("tx_category", f"SELECT p_partkey, CASE string_split(p_name, ' ')[-1] {' '.join(f'WHEN {k!r} THEN {v!r}' for k, v in _KINDS.items())} END AS category FROM part")
-def category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = F.create_map(*(F.lit(x) for pair in _KINDS.items() for x in pair))
-    return table(spark, sf_dir, "part").select("p_partkey", F.try_element_at(kinds, F.element_at(F.split("p_name", " "), -1)).alias("category"))
-
-
-@query("tx_place_type", "SELECT p_type, count(*) AS n FROM part WHERE regexp_matches(p_type, '^(ECONOMY|STANDARD|PROMO)') GROUP BY p_type")
-def place_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").filter(F.col("p_type").rlike("^(ECONOMY|STANDARD|PROMO)")).groupBy("p_type").agg(F.count("*").alias("n"))
-
-
 
 _COUNTS = f"(SELECT conv_id, turn, length(regexp_replace(text, '[^{X.ARABIC}]', '', 'g')) AS ar, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS la FROM conversations)"
 
