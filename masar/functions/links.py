@@ -60,7 +60,10 @@ def _link(**parts: Column) -> Column:
 
 def normalised(link: Column) -> Column:
     """A link of LINK from its JSON; null where it isn't one that can be kept."""
-    d = F.from_json(link, RAW)
+    return X.let(F.from_json(link, RAW), _checked)
+
+
+def _checked(d: Column) -> Column:
     point, pid, query = valid_point(d["point"]["lat"], d["point"]["lng"]), clean(d["placeId"], 200), clean(d["query"], MOST_TEXT)
     both = {"navigate": F.when(d["navigate"], True), "hintLabel": clean(d["hintLabel"], MOST_LABEL)}
     coordinate = F.when(point.isNotNull(), _link(kind=F.lit("coordinate"), point=point, zoom=_zoom(d["zoom"]), **both))
@@ -123,6 +126,10 @@ def _query(*pairs: tuple[str, Column]) -> Column:
 
 def other_maps(link: Column) -> Column:
     """struct<google, apple, waze>: the same place or route in other maps."""
+    return X.let(link, _other_maps)
+
+
+def _other_maps(link: Column) -> Column:
     route, at = link["kind"] == "route", _ll(point_of(link))
     words = F.coalesce(F.nullif(link["query"], F.lit("")), F.nullif(link["label"], F.lit("")), F.lit(""))
     start = _ll(link["origin"]["point"])

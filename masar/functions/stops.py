@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from masar.functions.language import folded
+from masar.functions.text import let
 
 # Chains with the kind of stop they are, phrases that only name a kind, and the types of places that words ask for.
 BRANDS = (
@@ -49,7 +50,10 @@ def _mentions(n: Column, words: tuple[str, ...]) -> Column:
 
 def brand_kind(text: Column) -> Column:
     """The kind of stop of the first known chain that a text mentions; else null."""
-    n = norm(text)
+    return let(norm(text), _brand_of)
+
+
+def _brand_of(n: Column) -> Column:
     return _first([(_mentions(n, names), kind) for kind, names in BRANDS])
 
 
@@ -59,29 +63,29 @@ def _bare(n: Column, leads: tuple[str, ...]) -> Column:
 
 def generic_kind(text: Column) -> Column:
     """The kind that a phrase names and nothing else ("the nearest gas station"); null for a proper name."""
-    n = _bare(norm(text), LEADS)
-    return _first([(n.isin(*words), kind) for kind, words in GENERIC.items()])
+    return let(_bare(norm(text), LEADS), lambda n: _first([(n.isin(*words), kind) for kind, words in GENERIC.items()]))
 
 
 def place_type(text: Column) -> Column:
     """The type of place to look for: a chain's, that of the phrase without its lead, or of one of its words; null for open-ended wishes and the rest."""
-    n = norm(text)
-    kind = brand_kind(text)
-    of_kind = reduce(lambda rest, k: F.when(kind == k, TYPE_OF_KIND[k]).otherwise(rest), TYPE_OF_KIND, F.lit(None).cast("string"))
     whole = lambda t: _first([(t.isin(*words), name) for name, words in TYPES.items()])
-    bare = _bare(n, (*LEADS, *MORE_LEADS))
-    words = F.split(bare, " ")
-    a_word = _first([(F.arrays_overlap(words, F.array(*map(F.lit, singles))), name) for name, every in TYPES.items() if (singles := tuple(w for w in every if " " not in w))])
-    return F.when(_mentions(n, OPEN_ENDED), None).when(kind.isNotNull(), of_kind).otherwise(F.coalesce(whole(n), whole(bare), a_word))
+    single = [(tuple(w for w in every if " " not in w), name) for name, every in TYPES.items()]
+    a_word = lambda ws: _first([(F.arrays_overlap(ws, F.array(*map(F.lit, some))), name) for some, name in single if some])
+    of_kind = lambda kind: reduce(lambda rest, k: F.when(kind == k, TYPE_OF_KIND[k]).otherwise(rest), TYPE_OF_KIND, F.lit(None).cast("string"))
+    bare = lambda n: let(_bare(n, (*LEADS, *MORE_LEADS)), lambda b: F.coalesce(whole(b), let(F.split(b, " "), a_word)))
+    typed = lambda n: let(_brand_of(n), lambda kind: F.when(_mentions(n, OPEN_ENDED), None).when(kind.isNotNull(), of_kind(kind)).otherwise(F.coalesce(whole(n), bare(n))))
+    return let(norm(text), typed)
 
 
 def name_match(asked: Column, found: Column) -> Column:
     """strong where the found name holds the asked one or a name of its chain, or half of its words; else weak."""
-    q, n = norm(asked), norm(found)
-    chain = reduce(lambda rest, b: F.when(_mentions(q, b[1]), _mentions(n, b[1])).otherwise(rest), reversed(BRANDS), F.lit(False))
-    words = F.array_distinct(F.split(q, " "))
-    shared = F.size(F.array_intersect(words, F.split(n, " ")))
-    return F.when((q == "") | n.contains(q) | chain | (shared >= 0.5 * F.size(words)), "strong").otherwise("weak")
+
+    def graded(q: Column, n: Column) -> Column:
+        chain = reduce(lambda rest, b: F.when(_mentions(q, b[1]), _mentions(n, b[1])).otherwise(rest), reversed(BRANDS), F.lit(False))
+        words = F.array_distinct(F.split(q, " "))
+        return F.when((q == "") | n.contains(q) | chain | (F.size(F.array_intersect(words, F.split(n, " "))) >= 0.5 * F.size(words)), "strong").otherwise("weak")
+
+    return let(norm(asked), lambda q: let(norm(found), lambda n: graded(q, n)))
 
 
 def added_minutes(via_seconds: Column, base_seconds: Column) -> Column:
@@ -92,10 +96,10 @@ def added_minutes(via_seconds: Column, base_seconds: Column) -> Column:
 def stop_decision(place_name: Column, asked: Column, found_name: Column, minutes: Column, km: Column) -> Column:
     """What a request for a stop leads to: ask (no place or kind), none, too_far, auto (clear, known and near) or confirm."""
     literal = norm(place_name).isin(*LITERAL) | norm(asked).isin(*LITERAL) | ((norm(place_name) == "") & (norm(asked) == ""))
-    proper = F.when((norm(place_name) != "") & generic_kind(place_name).isNull(), place_name)
-    wanted = F.when(generic_kind(place_name).isNotNull(), place_name).otherwise(asked)
-    strong = F.when(proper.isNotNull(), name_match(proper, found_name) == "strong").otherwise(True)
-    clear = proper.isNotNull() | place_type(wanted).isNotNull()
+    kind = F.struct(generic_kind(place_name).isNotNull().alias("generic"), (norm(place_name) != "").alias("named"))
+    proper = let(kind, lambda k: k["named"] & ~k["generic"])
+    clear = let(proper, lambda p: F.when(p, True).otherwise(place_type(F.coalesce(F.nullif(place_name, F.lit("")), asked)).isNotNull()))
+    strong = let(proper, lambda p: F.when(p, name_match(place_name, found_name) == "strong").otherwise(True))
     far = F.coalesce(minutes > MOST_MINUTES, F.lit(False)) | F.coalesce(km > MOST_KM, F.lit(False))
     return F.when(literal, "ask").when(found_name.isNull(), "none").when(far, "too_far").when(strong & clear & F.coalesce(minutes <= SMALL_MINUTES, F.lit(False)), "auto").otherwise("confirm")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -27,6 +28,11 @@ LATIN_STOP = ("el", "al", "the", "of", "and", "de", "la", "le", "les", "du", "de
 ARABIC_STOP = ("و", "في", "فى", "من", "على", "علي", "عند", "ال")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value that is worked out once, however often it stands there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def normalize(text: Column) -> Column:
     """Case and accents folded, marks dropped, letters unified, digits to ASCII, other characters to single spaces."""
     s = F.translate(F.coalesce(text, F.lit("")), UPPER + LATIN_FROM, LOWER + LATIN_TO)
