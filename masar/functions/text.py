@@ -114,24 +114,3 @@ def first_of(*parts: Column) -> Column:
 
 def count_of(rules: dict[str, str], text: Column) -> dict[str, Column]:
     return {name: F.regexp_count(text, F.lit(pattern)) for name, pattern in rules.items()}
-
-
-def single_match(rules: dict[str, str], text: Column) -> Column:
-    """The name of the one rule that matches; null where none or several do."""
-    hits = reduce(lambda a, b: a + b, (F.when(text.rlike(p), 1).otherwise(0) for p in rules.values()))
-    name = F.lit(None).cast("string")
-    for rule, pattern in rules.items():
-        name = F.when(text.rlike(pattern), rule).otherwise(name)
-    return F.when(hits == 1, name)
-
-
-def speak_minutes(minutes: Column) -> Column:
-    """English words for a rounded duration."""
-    m = F.greatest(F.lit(1), F.bround(minutes).cast("int"))
-    h, rest = F.floor(m / 60).cast("int"), (m % 60).cast("int")
-    unit = lambda n, name: F.concat(n.cast("string"), F.lit(f" {name}"), F.when(n == 1, "").otherwise("s"))
-    return F.when(h == 0, unit(m, "minute")).when(rest == 0, unit(h, "hour")).otherwise(F.concat(unit(h, "hour"), F.lit(" and "), unit(rest, "minute")))
-
-
-def speak_distance(km: Column) -> Column:
-    return F.when(km < 1, F.concat((F.bround(km * 20).cast("int") * 50).cast("string"), F.lit(" meters"))).when(km < 10, F.concat(F.bround(km, 1).cast("string"), F.lit(" kilometers"))).otherwise(F.concat(F.bround(km).cast("int").cast("string"), F.lit(" kilometers")))

@@ -6,15 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from masar.functions import geo as G
-from masar.functions import levels as L
 from masar.functions import speech as Z
-from masar.functions import text as X
-from masar.operators import plans as P
 from masar.operators import readings as R
 from masar.operators import routes as O
-from masar.operators import search as S
 from masar.plans.geometry import CUM, CUS, SUP, along, customers, hav, suppliers
-from masar.plans.language import TOKS, words
 from masar.plans.registry import query, table
 from masar.plans.traffic import READ, read
 

@@ -9,7 +9,6 @@ from masar.functions import codecs as C
 from masar.operators import neural as N
 from masar.plans.geometry import PTS, points
 from masar.plans.registry import query, table
-from masar.sources import sinks
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
