@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from masar.functions import language as L
 from masar.functions import speech as Z
+from masar.functions import text as X
 
 # Formal words and what is said for them, imperatives that need a vowel, and Latin names as they are said.
 FORMAL = {
@@ -49,9 +51,13 @@ def egyptianized(text: Column) -> Column:
     t = F.translate(text, "٠١٢٣٤٥٦٧٨٩", "0123456789")
     for unit, two, one in (("كيلو(?:متر)?", "كيلوين", "كيلو"), ("دقيق[ةه]", "دقيقتين", "دقيقة"), ("ساع[ةه]", "ساعتين", "ساعة")):
         t = F.regexp_replace(F.regexp_replace(t, rf"(?<![\w.:])2\s+{unit}(?![ء-ي])", two), rf"(?<![\w.:])1\s+{unit}(?![ء-ي])", one)
-    parts = F.regexp_extract_all(t, F.lit(r"([A-Za-z][A-Za-z0-9]*|\d+[A-Za-z][A-Za-z0-9]*|\d{1,2}:\d{2}(?![\d:])|\d+\s*[%٪]|\d+[.,٫]\d(?![\d.])|[\d:.]*\d|[^A-Za-z0-9]+)"), F.lit(1))
+    return X.let(t, _numbers_said)
 
-    def worded(part: Column, at: Column) -> Column:
+
+def _numbers_said(t: Column) -> Column:
+    pieces = F.regexp_extract_all(t, F.lit(r"([A-Za-z][A-Za-z0-9]*|\d+[A-Za-z][A-Za-z0-9]*|\d{1,2}:\d{2}(?![\d:])|\d+\s*[%٪]|\d+[.,٫]\d(?![\d.])|[\d:.]*\d|[^A-Za-z0-9]+)"), F.lit(1))
+
+    def worded(parts: Column, part: Column, at: Column) -> Column:
         number = lambda s: F.try_to_number(s, F.lit("999999")).cast("long")
         hour, minute = F.split(part, ":")[0].cast("int"), F.try_element_at(F.split(part, ":"), F.lit(2)).cast("int")
         whole, tenth = number(F.split(part, "[.,٫]")[0]), F.try_element_at(F.split(part, "[.,٫]"), F.lit(2)).cast("int")
@@ -65,24 +71,30 @@ def egyptianized(text: Column) -> Column:
         )
         return F.coalesce(said, part)
 
-    return F.when(t == "", t).otherwise(F.array_join(F.transform(parts, worded), ""))
+    words = X.let(pieces, lambda parts: F.array_join(F.transform(parts, lambda part, at: worded(parts, part, at)), ""))
+    return F.when(t == "", t).otherwise(words)
 
 
 def _whole(words: dict[str, str]) -> list[tuple[str, str]]:
     return sorted(words.items(), key=lambda p: (-len(p[0]), p[0]))
 
 
+def _each_in_turn(text: Column, rules: list[tuple[str, str, str]], seen: Callable[[Column], Column]) -> Column:
+    """The text after each rule (a word, its pattern, what is said) in turn; only where the word stands in the text by then is its pattern tried, as few do in a line."""
+    table = F.array(*(F.struct(*(F.lit(x).alias(n) for x, n in zip(rule, ("word", "pattern", "said"), strict=True))) for rule in rules))
+    return F.aggregate(table, text, lambda now, r: F.when(F.contains(seen(now), r["word"]), F.regexp_replace(now, r["pattern"], r["said"])).otherwise(now))
+
+
 def masri(text: Column) -> Column:
     """Formal words, names and numbers of an Arabic line as they are said in Cairo."""
     wide = "".join(map(chr, range(0xFF01, 0xFF5F)))
     t = F.translate(text, wide, "".join(chr(ord(c) - 0xFEE0) for c in wide))
     t = F.regexp_replace(t, r"(?<![؀-ۿ])سوف\s+(?=[يتنأا][؀-ۿ])", "ه")
-    for formal, said in _whole(FORMAL):
-        t = F.regexp_replace(t, f"(?<![؀-ۿ])([وف]?){formal}(?![؀-ۿ])", f"$1{said}")
-    for bare, said in _whole(VOWELLED):
-        t = F.regexp_replace(t, f"(?<![؀-ۿ]){bare}(?![؀-ۿ])", said)
-    for latin, said in _whole(NAMES):
-        t = F.regexp_replace(t, rf"(?i)(?<![A-Za-z])(?:the\s+)?{latin}(?![A-Za-z])", said)
+    formal = [(w, f"(?<![؀-ۿ])([وف]?){w}(?![؀-ۿ])", f"$1{said}") for w, said in _whole(FORMAL)]
+    vowelled = [(w, f"(?<![؀-ۿ]){w}(?![؀-ۿ])", said) for w, said in _whole(VOWELLED)]
+    names = [(w, rf"(?i)(?<![A-Za-z])(?:the\s+)?{w}(?![A-Za-z])", said) for w, said in _whole(NAMES)]
+    t = _each_in_turn(t, formal + vowelled, lambda now: now)
+    t = X.let(t, lambda now: F.when(now.rlike("[A-Za-z]"), _each_in_turn(now, names, F.lower)).otherwise(now))
     return egyptianized(t)
 
 

@@ -227,7 +227,8 @@ def egyptianize(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("tx_masri")
 def masri(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat(F.lit("الطريق مزدحم الآن، خد يسارًا بعد "), F.col("p_size").cast("string"), F.lit(" دقيقة على the Ring Road"))
-    return table(spark, sf_dir, "part").select("p_partkey", T.masri(line).alias("said"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size").repartition("p_partkey")  # a small file has few splits, and lines take their time
+    return parts.select("p_partkey", T.masri(line).alias("said"))
 
 
 _HEARD = "trim(regexp_replace(lower(said), '[\\s.,!?؟،…\"''«»:;-]+', ' ', 'g'))"

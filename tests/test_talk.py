@@ -93,3 +93,9 @@ def test_streamed_reply(spark):
     got = {r["id"]: r for r in T.streamed_reply(spark.createDataFrame(rows, "id int, n int, line string").repartition(3), "id", "n", "line").collect()}
     assert got[1]["text"] == "Hello, all" and [tuple(c) for c in got[1]["calls"]] == [("a", "mute", "{}"), ("b", "add", '{"x":1}')]
     assert got[2]["text"] == "x" * 50_000 and got[2]["calls"] is None and 3 not in got and got[None]["text"] == "n"
+
+
+def test_a_line_is_worked_out_once(spark):
+    """The words' replacements stand once in the plan, not again in each use of the line and its parts."""
+    plan = spark.range(1).select(T.masri(F.concat(F.lit("خد يسار بعد "), F.col("id").cast("string"))).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("سوف") == 1
