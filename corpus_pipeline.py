@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from masar.llm import decontaminate, near_copies, packing, pii, quality
+from masar.llm import decontaminate, near_copies, packing, pii, quality, simhash
 from masar.llm.shared import materialize
 
 
@@ -22,8 +22,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, Jaccard similarity of 0.8 or more) the document with the smallest id stays."""
-    return near_copies.one_of_each(docs)
+    """Of each group of near duplicates the document with the smallest id stays: first by operator 9's fingerprints, then, of what these leave, by shingles (Jaccard similarity of 0.8 or more)."""
+    return near_copies.one_of_each(materialize(simhash.one_of_each(docs), "pipeline-fingerprints"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

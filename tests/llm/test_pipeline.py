@@ -3,7 +3,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 import corpus_pipeline as c
-from masar.llm import packing, pii, quality
+from masar.llm import near_copies, packing, pii, quality, simhash
 from tests.llm.test_decontaminate import slow_pairs
 from tests.llm.test_near_copies import slow as near_groups
 from tests.llm.test_pii import base
@@ -82,3 +82,12 @@ def test_clashing_columns_and_empty_tables(spark, sf_dir):
 def test_run(spark, sf_dir):
     got = c.run(spark, sf_dir)
     assert {"doc_id", "batch", "bucket"} <= set(got.columns) and got.count() > 0
+
+
+def test_near_duplicates_by_fingerprints(spark, sf_dir):
+    """What operator 9 links goes, also where shingles alone wouldn't tell: repeated words make the fingerprints, different ones the sets."""
+    texts = ["north gate open " * 50 + " ".join(f"{w}{k}" for k in range(20)) for w in "ab"]
+    docs = spark.createDataFrame([(k, t, "en", "web", len(t)) for k, t in enumerate([*texts, "a text of its own that nothing else is like"])], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["component_id"] for r in simhash.near_duplicates(docs).collect()} == {0, 2}
+    assert near_copies.one_of_each(docs).count() == 3
+    assert sorted(r["doc_id"] for r in c.drop_near_duplicates(spark, docs, sf_dir).collect()) == [0, 2]
